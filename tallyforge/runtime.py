@@ -62,6 +62,11 @@ class Stash:
         self.kept[id(back)] = name
         return back, int(seen.get["n"])
 
+    def together(self, frames: list[DataFrame]) -> DataFrame:
+        """Tables of one schema, written by ``put``, as a single scan."""
+        names = [self.kept[id(f)] for f in frames]
+        return self.spark.read.schema(frames[0].schema).parquet(*names)
+
     def drop(self, frame: DataFrame) -> None:
         if name := self.kept.pop(id(frame), None):
             self.files.delete(self._path(name), True)
