@@ -76,25 +76,30 @@ def starts(edges: DataFrame, only_roots: bool) -> DataFrame:
 
 
 def _step(frontier: DataFrame, edges: DataFrame, with_path: bool) -> DataFrame:
-    """Children of the frontier; a node comes once per way to it."""
-    columns = ["hierarchy", "root", "depth", F.col("node").alias("at")] + ["path"] * with_path
+    """Children of the frontier; a node comes once per way to it.
+
+    Sort-merge joins are asked for: a loop of many small broadcasts fills the driver.
+    """
+    columns = ["hierarchy", "root", "depth", "step", F.col("node").alias("at")] + ["path"] * with_path
     spread = frontier.filter("chunks > 0").select(*columns, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    return spread.join(edges, ["hierarchy", "at", "chunk"]).select(
+    return spread.join(edges.hint("merge"), _AT).select(
         "hierarchy",
         F.col("child").alias("node"),
         "root",
         "chunks",
         (F.col("depth") + 1).alias("depth"),
+        (F.col("step") + 1).alias("step"),
         *[F.concat("path", F.array("child")).alias("path")] * with_path,
     )
 
 
 def _fewest(rows: DataFrame, with_path: bool) -> DataFrame:
     """One row per node and root: least depth, then least path."""
+    shared = [F.max("chunks").alias("chunks"), F.min("step").alias("step")]
     if not with_path:
-        return rows.groupBy(*_KEY).agg(F.max("chunks").alias("chunks"), F.min("depth").alias("depth"))
-    best = rows.groupBy(*_KEY).agg(F.max("chunks").alias("chunks"), F.min(F.struct("depth", "path")).alias("b"))
-    return best.select(*_KEY, "chunks", F.col("b.depth").alias("depth"), F.col("b.path").alias("path"))
+        return rows.groupBy(*_KEY).agg(*shared, F.min("depth").alias("depth"))
+    best = rows.groupBy(*_KEY).agg(*shared, F.min(F.struct("depth", "path")).alias("b"))
+    return best.select(*_KEY, "chunks", "step", F.col("b.depth").alias("depth"), F.col("b.path").alias("path"))
 
 
 def reach(edges: DataFrame, sources: DataFrame, stash: Stash, with_path: bool = False) -> DataFrame:
@@ -102,17 +107,18 @@ def reach(edges: DataFrame, sources: DataFrame, stash: Stash, with_path: bool =
 
     The source itself has depth 0. ``path`` runs from root to node; of equally short paths
     the lexicographically least is kept. Loops end because a node known to a root is not
-    expanded again. Within a job, repeated ways are merged every second level.
+    expanded again. Within a job, repeated ways are merged every second level. All jobs have
+    the same plan but for the tables they read, so they share compiled code.
     """
     edges = edges.repartition(*_AT).persist()  # partitioned once for all levels
     first = sources.select(
-        *[F.col(c) for c in ("hierarchy", "node")], F.col("node").alias("root"), "chunks", F.lit(0).cast("bigint").alias("depth"),
-        *[F.array("node").alias("path")] * with_path,
+        "hierarchy", "node", F.col("node").alias("root"), "chunks", F.lit(LEVELS_PER_JOB).alias("step"),
+        F.lit(0).cast("bigint").alias("depth"), *[F.array("node").alias("path")] * with_path,
     )
-    frontier, n = stash.put(first)
-    known, level = [frontier], 0
+    new, n = stash.put(first)
+    known = [new]
     while n:
-        found, at = [], frontier
+        found, at = [], new.filter(F.col("step") == LEVELS_PER_JOB).withColumn("step", F.lit(0))
         for i in range(LEVELS_PER_JOB):
             at = _step(at, edges, with_path)
             if i % 2 and i + 1 < LEVELS_PER_JOB:
@@ -121,11 +127,9 @@ def reach(edges: DataFrame, sources: DataFrame, stash: Stash, with_path: bool =
         rows = found[0]
         for more in found[1:]:
             rows = rows.unionByName(more)
-        fresh = _fewest(rows, with_path).join(stash.together(known).select(*_KEY), _KEY, "left_anti")
-        new, n = stash.put(fresh)
-        level += LEVELS_PER_JOB
+        old = stash.together(known).select(*_KEY).hint("merge")
+        new, n = stash.put(_fewest(rows, with_path).join(old, _KEY, "left_anti"))
         known.append(new)
-        frontier = new.filter(F.col("depth") == level)
     edges.unpersist()
     return stash.together(known).select(*_KEY, "depth", *["path"] * with_path)
 
@@ -134,7 +138,9 @@ def _trimmed(links: DataFrame) -> DataFrame:
     """Links whose parent has a parent and whose child has a child: one round of trimming at both ends."""
     above = links.select("hierarchy", F.col("child").alias("parent")).distinct()
     below = links.select("hierarchy", F.col("parent").alias("child")).distinct()
-    return links.join(above, ["hierarchy", "parent"], "left_semi").join(below, ["hierarchy", "child"], "left_semi")
+    return links.join(above.hint("merge"), ["hierarchy", "parent"], "left_semi").join(
+        below.hint("merge"), ["hierarchy", "child"], "left_semi"
+    )
 
 
 def trim(links: DataFrame, stash: Stash, enough: int) -> tuple[DataFrame, int]:
