@@ -2,8 +2,8 @@
 
 Everything is level-wise joins over ``hierarchy, parent, child`` links. Children of one
 parent are spread over chunks of at most about ``CHUNK`` links, and a frontier row joins
-chunk by chunk, so a parent with a third of all links never lands in one task. Levels
-are written to the shared folder every few joins, which cuts lineage.
+chunk by chunk, so a parent with a third of all links never lands in one task. Each level
+is written to the shared folder, which cuts lineage.
 
 Nulls and self links make no link; repeated links count once; an empty table gives an
 empty result. Extra columns of the inputs are not read.
@@ -20,8 +20,6 @@ from ..runtime import Stash
 
 #: Links of one parent per chunk.
 CHUNK = 4096
-#: Frontier joins per job; more means fewer jobs but later pruning of known nodes.
-LEVELS_PER_JOB = 6
 #: Links (after trimming once) up to which one task finishes the search for loops.
 LOCAL_LINKS = 500_000
 _KEY = ["hierarchy", "node", "root"]
@@ -75,60 +73,39 @@ def starts(edges: DataFrame, only_roots: bool) -> DataFrame:
     return parents
 
 
-def _step(frontier: DataFrame, edges: DataFrame, with_path: bool) -> DataFrame:
-    """Children of the frontier; a node comes once per way to it.
+def _level(frontier: DataFrame, edges: DataFrame, with_path: bool) -> DataFrame:
+    """Children of the frontier, one row per node and root.
 
     Sort-merge joins are asked for: a loop of many small broadcasts fills the driver.
     """
-    columns = ["hierarchy", "root", "depth", "step", F.col("node").alias("at")] + ["path"] * with_path
+    columns = ["hierarchy", "root", "depth", F.col("node").alias("at")] + ["path"] * with_path
     spread = frontier.filter("chunks > 0").select(*columns, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    return spread.join(edges.hint("merge"), _AT).select(
-        "hierarchy",
-        F.col("child").alias("node"),
-        "root",
-        "chunks",
-        (F.col("depth") + 1).alias("depth"),
-        (F.col("step") + 1).alias("step"),
-        *[F.concat("path", F.array("child")).alias("path")] * with_path,
+    paths = [F.min(F.concat("path", F.array("child"))).alias("path")] * with_path
+    return (
+        spread.join(edges.hint("merge"), _AT)
+        .groupBy("hierarchy", F.col("child").alias("node"), "root")
+        .agg(F.max("chunks").alias("chunks"), F.max(F.col("depth") + 1).alias("depth"), *paths)
     )
 
 
-def _fewest(rows: DataFrame, with_path: bool) -> DataFrame:
-    """One row per node and root: least depth, then least path."""
-    shared = [F.max("chunks").alias("chunks"), F.min("step").alias("step")]
-    if not with_path:
-        return rows.groupBy(*_KEY).agg(*shared, F.min("depth").alias("depth"))
-    best = rows.groupBy(*_KEY).agg(*shared, F.min(F.struct("depth", "path")).alias("b"))
-    return best.select(*_KEY, "chunks", "step", F.col("b.depth").alias("depth"), F.col("b.path").alias("path"))
-
-
 def reach(edges: DataFrame, sources: DataFrame, stash: Stash, with_path: bool = False) -> DataFrame:
     """Every node each source reaches, with the fewest links: ``hierarchy, node, root, depth[, path]``.
 
     The source itself has depth 0. ``path`` runs from root to node; of equally short paths
     the lexicographically least is kept. Loops end because a node known to a root is not
-    expanded again. Within a job, repeated ways are merged every second level. All jobs have
-    the same plan but for the tables they read, so they share compiled code.
+    expanded again. All levels have the same plan but for the tables they read, so they share
+    compiled code.
     """
     edges = edges.repartition(*_AT).persist()  # partitioned once for all levels
     first = sources.select(
-        "hierarchy", "node", F.col("node").alias("root"), "chunks", F.lit(LEVELS_PER_JOB).alias("step"),
-        F.lit(0).cast("bigint").alias("depth"), *[F.array("node").alias("path")] * with_path,
+        "hierarchy", "node", F.col("node").alias("root"), "chunks", F.lit(0).cast("bigint").alias("depth"),
+        *[F.array("node").alias("path")] * with_path,
     )
     new, n = stash.put(first)
     known = [new]
     while n:
-        found, at = [], new.filter(F.col("step") == LEVELS_PER_JOB).withColumn("step", F.lit(0))
-        for i in range(LEVELS_PER_JOB):
-            at = _step(at, edges, with_path)
-            if i % 2 and i + 1 < LEVELS_PER_JOB:
-                at = _fewest(at, with_path)
-            found.append(at)
-        rows = found[0]
-        for more in found[1:]:
-            rows = rows.unionByName(more)
         old = stash.together(known).select(*_KEY).hint("merge")
-        new, n = stash.put(_fewest(rows, with_path).join(old, _KEY, "left_anti"))
+        new, n = stash.put(_level(new, edges, with_path).join(old, _KEY, "left_anti"))
         known.append(new)
     edges.unpersist()
     return stash.together(known).select(*_KEY, "depth", *["path"] * with_path)
