@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import Stash, table
-from . import mix, sketches, terms, tokenizer
+from . import mix, residue, sketches, terms, tokenizer
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,7 +39,11 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mix.shares(_mixed(spark, folder), table(spark, folder, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p6_distinct, p8_ids, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.find_residue(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p6_distinct, p8_ids, p9_mix, p9_shares, p10_found)}
 
 _REAL = """
 WITH whole AS (
