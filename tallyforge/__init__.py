@@ -1,5 +1,9 @@
 """Privacy-aware code catalogs and large-scale event processing on Spark."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from .config import EnrichmentConfig, SummaryConfig
 from .operators.counting import code_occurrences
 from .operators.enrichment import enrich_metadata
@@ -15,6 +19,9 @@ from .sources.meds import (
     scan_subject_splits,
 )
 
+# Functions for Python workers travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = [
     "EnrichmentConfig",
     "SummaryConfig",
