@@ -123,7 +123,7 @@ def _estimate(keys: Sequence[str], buckets: int):
 
 def estimate(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``keys, n_distinct, lower, upper`` per group."""
-    summed = sketches.groupBy(*keys).agg(*_lanes())
+    summed = sketches.groupBy(*keys).agg(*_lanes(), F.max("bucket").alias("filled")).filter("filled >= 0 or c0 is null").drop("filled")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in summed.schema if f.name in keys)
     numbers = "n_distinct bigint, lower bigint, upper bigint"
     return summed.mapInArrow(_estimate(list(keys), BUCKETS), f"{kinds}, {numbers}" if kinds else numbers)
@@ -138,31 +138,42 @@ def subject_splits_of(splits: DataFrame) -> DataFrame:
     return tied.groupBy("subject_id").agg(F.min("split").alias("split"))
 
 
+def _over_splits(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``merge`` over the splits that still reads them, so that the shuffle below is the one of the finer level."""
+    merged = sketches.groupBy(*keys, "bucket").agg(F.bit_or("bits").alias("bits"), F.count("split").alias("n"))
+    return merged.filter("n >= 0").drop("n")
+
+
 def breakdowns(events: DataFrame, splits: DataFrame) -> DataFrame:
     """Distinct subjects per day, code, split and every combination: ``level, day, code, split, n_distinct, lower, upper``.
 
-    Sketches are built once, at the finest level, and merged upward along the lattice of levels,
-    each from a smaller one. A subject without a live split has a null split.
+    Sketches are built once, at the finest level, and merged upward along the lattice of levels.
+    Merged sketches have at most ``BUCKETS`` rows per group, whatever the group's size, so they
+    may be partitioned by a coarser key once; levels that share the key then need no shuffle
+    of their own. A subject without a live split has a null split.
     """
     known = subject_splits_of(splits).withColumnRenamed("subject_id", "__s")
     rows = events.select(F.to_date("time").alias("day"), "code", "subject_id").join(
         known, F.col("subject_id") == F.col("__s"), "left"
     )
-    made = {"day,code,split": build(rows, ["day", "code", "split"], "subject_id")}
-    for level, source in (
-        ("day,code", "day,code,split"),
-        ("code,split", "day,code,split"),
-        ("day,split", "day,code,split"),
-        ("code", "code,split"),
-        ("day", "day,split"),
-        ("split", "code,split"),
-        ("", "split"),
-    ):
-        made[level] = merge(made[source], level.split(",") if level else [])
+    built = build(rows, ["day", "code", "split"], "subject_id")
+    code_split, day_split = merge(built, ["code", "split"]), merge(built, ["day", "split"])
+    fine, by_code, by_day = built.repartition("day", "code"), code_split.repartition("code"), day_split.repartition("day")
+    by_split = merge(code_split, ["split"])
+    made = {
+        ("day", "code", "split"): fine,
+        ("day", "code"): _over_splits(fine, ["day", "code"]),
+        ("code", "split"): by_code,
+        ("code",): _over_splits(by_code, ["code"]),
+        ("day", "split"): by_day,
+        ("day",): _over_splits(by_day, ["day"]),
+        ("split",): by_split,
+        (): merge(by_split, []),
+    }
+    kinds = {"day": "date", "code": "string", "split": "string"}
     parts = []
     for level, sketches in made.items():
-        keys = level.split(",") if level else []
-        found = estimate(sketches, keys)
-        columns = [F.col(k) if k in keys else F.lit(None).cast(t).alias(k) for k, t in (("day", "date"), ("code", "string"), ("split", "string"))]
-        parts.append(found.select(F.lit(level or "all").alias("level"), *columns, "n_distinct", "lower", "upper"))
+        columns = [F.col(k) if k in level else F.lit(None).cast(t).alias(k) for k, t in kinds.items()]
+        found = estimate(sketches, level)
+        parts.append(found.select(F.lit(",".join(level) or "all").alias("level"), *columns, "n_distinct", "lower", "upper"))
     return reduce(lambda a, b: a.unionByName(b), parts)
