@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import Stash
+
 #: Most passages the model is fitted on.
 TRUSTED_PASSAGES, UNLABELLED_PASSAGES = 20_000, 100_000
 #: Feature hash space, rounds of EM, strength of smoothing, bounds of one feature's log odds.
@@ -120,6 +122,9 @@ TRUSTED = [
 
 _ANY_SHAPE = "|".join(f"(?P<{name}>{pattern})" for name, pattern in SHAPES.items())
 _TOKEN = re.compile(_ANY_SHAPE + r"|(?P<tag></?[a-zA-Z][a-zA-Z0-9]{0,12}>)|(?P<word>[^\W\d_]+(?:[’'][^\W\d_]+)*)|(?P<number>\d+)|(?P<sign>[^\s\w])")
+#: Passages without any of these characters hold no marks and no tags.
+_MARKED = re.compile(r"[{\[<%$#&@_«]|XXXX")
+_PLAIN = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)*|\d+|[^\s\w]")
 _TRUST_SHAPE = re.compile("|".join(SHAPES[name] for name in SHAPES if name in _TRUSTED_SHAPES))
 _TRUST = re.compile("^(?:" + "|".join(TRUSTED) + ")", re.IGNORECASE)
 _CUT = re.compile(r"[\r\n\x0b\x0c\x85  ]+|(?<=[.!?…])[\s　]+|(?<=>)(?=<)")
@@ -171,11 +176,10 @@ class _Hasher(dict):
 _HASH = _Hasher()
 
 
-def features(found: list[tuple[str, str, str]]) -> list[int]:
+def features(forms: list[str]) -> list[int]:
     """Hashed unigrams and bigrams, each once, and whether the words repeat themselves."""
-    forms = ["^", *(t[1] for t in found), "$"]
-    keys = {*forms[1:-1], *(f"{a} {b}" for a, b in zip(forms, forms[1:]))}
-    if len(found) >= 12 and len(set(forms)) <= 6:
+    keys = {*forms, f"^ {forms[0]}", f"{forms[-1]} $", *map(" ".join, zip(forms, forms[1:]))}
+    if len(forms) >= 12 and len(set(forms)) <= 4:
         keys.add("R:again")
     return [_HASH[k] for k in keys]
 
@@ -187,18 +191,20 @@ def units(text: str) -> Iterator[tuple[str, bool, bool, list[int]]]:
     them) and no part of the passage around them, so neither outweighs the other.
     """
     for passage in passages(text):
-        found = tokens(passage)
-        if not found:
-            continue
-        words = [t for t in found if t[0] not in SHAPES]
-        if sum(len(t[1]) for t in words if t[0] == "word") >= 3:
+        marked = _MARKED.search(passage)
+        if marked:
+            found = tokens(passage)
+            forms = [t[1] for t in found if t[0] not in SHAPES]
+        else:
+            forms = ["0" if t.isdigit() else t for t in _PLAIN.findall(passage.lower())]
+        if sum(len(t) for t in forms if t.isalpha()) >= 3:
             sign = bool(_TRUST.match(passage))
-            yield passage, False, sign, features(words) + [_HASH["T:sign"]] * sign
-        if len(words) < len(found):
-            forms = ["^", *(t[1] for t in found), "$"]
+            yield passage, False, sign, features(forms) + [_HASH["T:sign"]] * sign
+        if marked and len(forms) < len(found):
+            around = ["^", *(t[1] for t in found), "$"]
             for i, (kind, form, name) in enumerate(found):
                 if kind in SHAPES:
-                    keys = (form, f"N:{name}", f"{forms[i]} {form}", f"{form} {forms[i + 2]}", f"{form} {name}")
+                    keys = (form, f"N:{name}", f"{around[i]} {form}", f"{form} {around[i + 2]}", f"{form} {name}")
                     sign = kind in _TRUSTED_SHAPES
                     yield passage, True, sign, [_HASH[k] for k in keys] + [_HASH["T:mark"]] * sign
 
@@ -253,7 +259,9 @@ def _sample(rate: float):
             signs, picks, packed = [], [], []
             for text in batch["text"].to_pylist():
                 chosen = zlib.crc32(text.encode("utf-8", "surrogatepass")) < rate * 2**32
-                if not chosen and not any(_TRUST.match(p) or _TRUST_SHAPE.search(p) for p in passages(text)):
+                if not chosen and not any(
+                    _TRUST.match(p) or (_MARKED.search(p) and _TRUST_SHAPE.search(p)) for p in passages(text)
+                ):
                     continue
                 for _, _, sign, own in units(text):
                     if chosen or sign:
@@ -278,14 +286,16 @@ def _score(odds):
 
 
 def learn(texts: DataFrame) -> np.ndarray:
-    """The model, fitted on the bounded sample; both passes read all texts."""
+    """The model, fitted on the bounded sample, which one pass over all texts writes to the shared folder."""
     size = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     rate = min(1.0, UNLABELLED_PASSAGES * CHARS_PER_PASSAGE / max(1, size))
-    found = texts.select("text").mapInArrow(_sample(rate), "sign boolean, pick bigint, own binary")
+    stash = Stash(texts.sparkSession)
+    found, _ = stash.put(texts.select("text").mapInArrow(_sample(rate), "sign boolean, pick bigint, own binary"))
     rows = []
     for sign, most in ((True, TRUSTED_PASSAGES), (False, UNLABELLED_PASSAGES)):
         part = found.filter(F.col("sign") == sign).limit(2 * most).collect()
         rows += sorted(part, key=lambda r: (r["pick"], r["own"]))[:most]
+    stash.drop(found)
     return fit([(r["sign"], np.frombuffer(r["own"], np.int32)) for r in rows])
 
 
