@@ -2,8 +2,9 @@
 
 Everything is level-wise joins over ``hierarchy, parent, child`` links. Children of one
 parent are spread over chunks of at most about ``CHUNK`` links, and a frontier row joins
-chunk by chunk, so a parent with a third of all links never lands in one task. Each level
-is written to the shared folder, which cuts lineage.
+chunk by chunk, so a parent with a third of all links never lands in one task. Pairs a few links
+apart are joined beforehand where that stays small, so one join advances several levels. The
+rows of each join are written to the shared folder, which cuts lineage.
 
 Nulls and self links make no link; repeated links count once; an empty table gives an
 empty result. Extra columns of the inputs are not read.
@@ -20,6 +21,8 @@ from ..runtime import Stash
 
 #: Links of one parent per chunk.
 CHUNK = 4096
+#: Most links between the ends of a precomputed pair, and most pairs as a multiple of the links.
+MAX_HOPS, HOP_GROWTH = 16, 16
 #: Links (after trimming once) up to which one task finishes the search for loops.
 LOCAL_LINKS = 500_000
 _KEY = ["hierarchy", "node", "root"]
@@ -51,64 +54,100 @@ def code_links(codes: DataFrame) -> DataFrame:
     return pairs.join(known, "parent", "left_semi").select(F.lit("code").alias("hierarchy"), "parent", "child")
 
 
-def chunked(links: DataFrame) -> DataFrame:
-    """Links with their parent's chunk and ``chunks``, the number of chunks the child has as a parent."""
-    sizes = links.groupBy("hierarchy", "parent").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("n"))
-    own = links.join(sizes, ["hierarchy", "parent"])
+def _nearest(rows: DataFrame, keys: list[str], with_path: bool) -> DataFrame:
+    """Fewest ``hops`` per key; with paths the least ``via`` of those. ``chunks`` and ``depth`` are the same within a key."""
+    carried = [F.max(c).alias(c) for c in ("chunks", "depth") if c in rows.columns]
+    if not with_path:
+        return rows.groupBy(*keys).agg(F.min("hops").alias("hops"), *carried)
+    best = rows.groupBy(*keys).agg(F.min(F.struct("hops", "via")).alias("b"), *carried)
+    return best.select(*keys, "b.hops", "b.via", *[c for c in ("chunks", "depth") if c in rows.columns])
+
+
+def hop_links(links: DataFrame, stash: Stash, with_path: bool = False) -> tuple[DataFrame, int]:
+    """``hierarchy, parent, child, hops[, via]`` of all pairs up to some number of links apart, and that number.
+
+    It doubles while the pairs stay below ``HOP_GROWTH`` times the links (by the number of
+    two-step ways, known from degrees before anything is joined), so trees and light meshes
+    advance several levels with each later join and dense meshes one.
+    """
+    via = [F.array("child").alias("via")] * with_path
+    pairs, n = stash.put(links.select("hierarchy", "parent", "child", F.lit(1).alias("hops"), *via))
+    reach_, most = 1, HOP_GROWTH * n
+    while n and reach_ < MAX_HOPS:
+        into = pairs.groupBy("hierarchy", F.col("child").alias("v")).agg(F.count(F.lit(1)).alias("a"))
+        out = pairs.groupBy("hierarchy", F.col("parent").alias("v")).agg(F.count(F.lit(1)).alias("b"))
+        ways = into.join(out.hint("merge"), ["hierarchy", "v"]).agg(F.sum(F.col("a") * F.col("b")).alias("n")).first()["n"]
+        if n + (ways or 0) > most:
+            break
+        left = pairs.select("hierarchy", "parent", F.col("child").alias("v"), F.col("hops").alias("h0"), *[F.col("via").alias("v0")] * with_path)
+        right = pairs.select("hierarchy", F.col("parent").alias("v"), "child", F.col("hops").alias("h1"), *[F.col("via").alias("v1")] * with_path)
+        joined = left.join(right.hint("merge"), ["hierarchy", "v"]).filter("parent <> child")
+        two = joined.select(
+            "hierarchy", "parent", "child", (F.col("h0") + F.col("h1")).alias("hops"), *[F.concat("v0", "v1").alias("via")] * with_path
+        )
+        wider, n = stash.put(_nearest(pairs.unionByName(two), ["hierarchy", "parent", "child"], with_path))
+        stash.drop(pairs)
+        pairs, reach_ = wider, reach_ * 2
+    return pairs, reach_
+
+
+def chunked(pairs: DataFrame) -> DataFrame:
+    """Pairs with their parent's chunk and ``chunks``, the number of chunks the child has as a parent."""
+    sizes = pairs.groupBy("hierarchy", "parent").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("n"))
+    own = pairs.join(sizes.hint("merge"), ["hierarchy", "parent"])
     below = sizes.select("hierarchy", F.col("parent").alias("child"), F.col("n").alias("chunks"))
-    return own.join(below, ["hierarchy", "child"], "left").select(
+    return own.join(below.hint("merge"), ["hierarchy", "child"], "left").select(
         "hierarchy",
         F.col("parent").alias("at"),
         F.pmod(F.xxhash64("child"), F.col("n")).cast("int").alias("chunk"),
-        F.col("child"),
+        "child",
         F.coalesce("chunks", F.lit(0)).alias("chunks"),
+        *[c for c in ("hops", "via") if c in pairs.columns],
     )
 
 
 def starts(edges: DataFrame, only_roots: bool) -> DataFrame:
-    """Nodes that have children and, if asked for, no parent; from ``chunked`` links."""
+    """Nodes that have children and, if asked for, no parent; from ``chunked`` pairs."""
     parents = edges.groupBy("hierarchy", F.col("at").alias("node")).agg((F.max("chunk") + 1).alias("chunks"))
     if only_roots:
-        parents = parents.join(edges.select("hierarchy", F.col("child").alias("node")), ["hierarchy", "node"], "left_anti")
+        children = edges.select("hierarchy", F.col("child").alias("node"))
+        parents = parents.join(children.hint("merge"), ["hierarchy", "node"], "left_anti")
     return parents
 
 
-def _level(frontier: DataFrame, edges: DataFrame, with_path: bool) -> DataFrame:
-    """Children of the frontier, one row per node and root.
-
-    Sort-merge joins are asked for: a loop of many small broadcasts fills the driver.
-    """
-    columns = ["hierarchy", "root", "depth", F.col("node").alias("at")] + ["path"] * with_path
-    spread = frontier.filter("chunks > 0").select(*columns, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    paths = [F.min(F.concat("path", F.array("child"))).alias("path")] * with_path
-    return (
-        spread.join(edges.hint("merge"), _AT)
-        .groupBy("hierarchy", F.col("child").alias("node"), "root")
-        .agg(F.max("chunks").alias("chunks"), F.max(F.col("depth") + 1).alias("depth"), *paths)
-    )
-
-
-def reach(edges: DataFrame, sources: DataFrame, stash: Stash, with_path: bool = False) -> DataFrame:
+def reach(links: DataFrame, only_roots: bool, stash: Stash, with_path: bool = False) -> DataFrame:
     """Every node each source reaches, with the fewest links: ``hierarchy, node, root, depth[, path]``.
 
-    The source itself has depth 0. ``path`` runs from root to node; of equally short paths
-    the lexicographically least is kept. Loops end because a node known to a root is not
-    expanded again. All levels have the same plan but for the tables they read, so they share
-    compiled code.
+    Sources are the roots or all parents; a source itself has depth 0. ``path`` runs from root to
+    node; of equally short paths the lexicographically least is kept. Every shortest path
+    has a node at each depth, so a frontier of nodes at one depth and pairs of up to ``hops``
+    links give the next ``hops`` levels. Loops end because a node known to a root is not expanded
+    again. All jobs have the same plan but for the tables they read, so they share compiled
+    code; sort-merge joins are asked for, as many small broadcasts would fill the driver.
     """
+    pairs, hops = hop_links(links, stash, with_path)
+    edges, _ = stash.put(chunked(pairs))
     edges = edges.repartition(*_AT).persist()  # partitioned once for all levels
-    first = sources.select(
-        "hierarchy", "node", F.col("node").alias("root"), "chunks", F.lit(0).cast("bigint").alias("depth"),
-        *[F.array("node").alias("path")] * with_path,
+    first = starts(edges, only_roots).select(
+        "hierarchy", "node", F.col("node").alias("root"), F.lit(hops).alias("hops"), *[F.array("node").alias("via")] * with_path,
+        "chunks", F.lit(0).cast("bigint").alias("depth"),
     )
     new, n = stash.put(first)
     known = [new]
     while n:
+        frontier = new.filter((F.col("hops") == hops) & (F.col("chunks") > 0)).select(
+            "hierarchy", "root", F.col("node").alias("at"), "depth", *[F.col("via").alias("path")] * with_path,
+            F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
+        )
+        met = frontier.join(edges.hint("merge"), _AT).select(
+            "hierarchy", F.col("child").alias("node"), "root", "hops", "chunks", "depth", *[F.concat("path", "via").alias("via")] * with_path
+        )
+        nearest = _nearest(met, _KEY, with_path).withColumn("depth", F.col("depth") + F.col("hops"))
         old = stash.together(known).select(*_KEY).hint("merge")
-        new, n = stash.put(_level(new, edges, with_path).join(old, _KEY, "left_anti"))
+        new, n = stash.put(nearest.join(old, _KEY, "left_anti"))
         known.append(new)
     edges.unpersist()
-    return stash.together(known).select(*_KEY, "depth", *["path"] * with_path)
+    return stash.together(known).select(*_KEY, "depth", *[F.col("via").alias("path")] * with_path)
 
 
 def _trimmed(links: DataFrame) -> DataFrame:
@@ -256,8 +295,7 @@ def hierarchy_report(links: DataFrame) -> DataFrame:
     """``hierarchy, node, root, depth``: one row per node and root, and ``CYCLE``/-1 per node in a loop."""
     stash = Stash(links.sparkSession)
     links, _ = stash.put(links)
-    edges, _ = stash.put(chunked(links))
-    rows = reach(edges, starts(edges, only_roots=True), stash)
+    rows = reach(links, True, stash)
     loops = cycle_nodes(links, stash)
     marked = loops.select("hierarchy", "node", F.lit("CYCLE").alias("root"), F.lit(-1).cast("bigint").alias("depth"))
     return rows.unionByName(marked)
@@ -265,16 +303,12 @@ def hierarchy_report(links: DataFrame) -> DataFrame:
 
 def hierarchy_paths(links: DataFrame) -> DataFrame:
     """``hierarchy, node, root, depth, path``: the shortest path from every root of each node."""
-    stash = Stash(links.sparkSession)
-    edges, _ = stash.put(chunked(links))
-    return reach(edges, starts(edges, only_roots=True), stash, with_path=True)
+    return reach(links, True, Stash(links.sparkSession), with_path=True)
 
 
 def descendants(links: DataFrame) -> DataFrame:
     """``hierarchy, ancestor, descendant, min_levels`` of all pairs; a node in a loop does not list itself."""
-    stash = Stash(links.sparkSession)
-    edges, _ = stash.put(chunked(links))
-    pairs = reach(edges, starts(edges, only_roots=False), stash)
+    pairs = reach(links, False, Stash(links.sparkSession))
     return pairs.filter("depth > 0").select(
         "hierarchy", F.col("root").alias("ancestor"), F.col("node").alias("descendant"), F.col("depth").alias("min_levels")
     )

@@ -81,12 +81,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Join condition under which null keys match."""
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[f"`{key}`"].eqNullSafe(right[f"`{key}`"])
-    return condition
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan over at least as many partitions as there are cores, for heavy work per row.
+
+    Only where a few small files make fewer partitions are rows shuffled; large inputs stay as read.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
