@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..runtime import Stash, table
+from ..runtime import Stash, spread, table
 from . import mix, residue, sketches, terms, tokenizer
 
 
@@ -21,12 +21,12 @@ def p6_distinct(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return tokenizer.encode(table(spark, folder, "documents"))
+    return tokenizer.encode(spread(table(spark, folder, "documents").select("doc_id", "text")))
 
 
 def _mixed(spark: SparkSession, folder: str) -> DataFrame:
     stash = Stash(spark)
-    documents = table(spark, folder, "documents").filter("source is not null")
+    documents = spread(table(spark, folder, "documents").filter("source is not null").select("doc_id", "source", "text"))
     sized, _ = stash.put(tokenizer.token_counts(documents, ["doc_id", "source"]))
     return mix.mix(sized, table(spark, folder, "mix_targets"), stash)
 
@@ -40,7 +40,7 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    return residue.find_residue(table(spark, folder, "documents"))
+    return residue.find_residue(spread(table(spark, folder, "documents").select("doc_id", "text")))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p6_distinct, p8_ids, p9_mix, p9_shares, p10_found)}
