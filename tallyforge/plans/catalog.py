@@ -79,8 +79,7 @@ class Catalog:
 
     def check(self) -> None:
         config = self.config
-        _refuse_none = self.counts.limit(1).isEmpty()
-        if _refuse_none:
+        if self.counts.limit(1).isEmpty():
             raise ValueError("MEDS data contains no events")
         if self.splits is not None and (config.per_split or config.split_columns):
             _refuse(counting.duplicate_keys(self.splits, ["subject_id"]), "subject_splits contains duplicate subject IDs")

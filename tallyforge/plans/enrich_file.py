@@ -55,8 +55,7 @@ def enrich_file(
     enriched = enrich_metadata(numbered, config)
     progress.step("Querying vocabulary")
     with tables.replacing(target) as staged:
-        ordered = enriched.repartition(1).sortWithinPartitions(_ORDER).drop(_ORDER)
-        tables.sink_table(ordered, staged, kind)
+        tables.sink_table(enriched, staged, kind, order=[_ORDER], hidden=[_ORDER])
     progress.step("Writing output")
     text = ""
     if verbose:

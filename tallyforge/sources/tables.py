@@ -81,7 +81,7 @@ def flatten_nested(frame: DataFrame) -> DataFrame:
         if isinstance(field.dataType, T.ArrayType):
             inner = field.dataType.elementType
             if isinstance(inner, T.StructType | T.MapType | T.ArrayType):
-                column = F.transform(column, F.to_json)
+                column = F.transform(column, lambda x: F.to_json(x))
             column = F.array_join(column.cast("array<string>"), "|").alias(field.name)
         elif isinstance(field.dataType, T.StructType | T.MapType):
             column = F.to_json(column).alias(field.name)
@@ -99,21 +99,24 @@ def _write_part(frame: DataFrame, kind: str, folder: Path) -> None:
         writer.option("ignoreNullFields", False).json(str(folder))
 
 
-def sink_table(frame: DataFrame, path: str | Path, format_: str | None = None, order: Sequence[str] = ()) -> None:
-    """Write one file, rows ascending by ``order`` (nulls first).
+def sink_table(
+    frame: DataFrame, path: str | Path, format_: str | None = None, order: Sequence[str] = (), hidden: Sequence[str] = ()
+) -> None:
+    """Write one file, rows ascending by ``order`` (nulls first), without the ``hidden`` columns.
 
-    The catalog is an aggregate, far smaller than its input, and the contract is one file:
-    so one task merges the range-sorted partitions. Larger results belong into
+    The catalog is an aggregate, far smaller than its input, and the contract is one file: so
+    one task sorts (spilling if need be) and writes it. Larger results belong into
     ``frame.write`` and a folder.
     """
     path = Path(path)
     kind = format_ or output_format(path)
     folder = path.with_name(f"{path.name}.{uuid4().hex}.parts")
-    if kind == "csv":
-        frame = flatten_nested(frame)
     single = frame.repartition(1)
     if order:
         single = single.sortWithinPartitions(*[F.col(f"`{c}`").asc() for c in order])
+    single = single.drop(*hidden)
+    if kind == "csv":
+        single = flatten_nested(single)
     try:
         _write_part(single, kind, folder)
         part = next(p for p in sorted(folder.iterdir()) if p.name.startswith("part-"))

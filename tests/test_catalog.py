@@ -56,6 +56,27 @@ def test_wide_mode_masks_small_cells(spark, dataset, tmp_path):
     assert cell("C", "train") == cell("C", "held_out") == (None, None)
 
 
+def test_one_file_of_nested_columns_in_order(spark, tmp_path):
+    from tallyforge.sources.tables import scan_table, sink_table
+
+    frame = spark.sql(
+        "select * from values (2, array('a', null, 'b'), named_struct('x', 1, 'y', 'q\"r'), array(named_struct('z', 1)), map('k', 1)),"
+        " (1, array(), null, null, null), (3, null, null, null, null) as t(id, items, one, many, pairs)"
+    )
+    path = tmp_path / "nested.csv"
+    sink_table(frame.withColumn("o", -frame.id), path, order=["o"], hidden=["o"])
+    with path.open() as file:
+        rows = list(csv.DictReader(file))
+    assert [r["id"] for r in rows] == ["3", "2", "1"]
+    assert rows[1] == {"id": "2", "items": "a|b", "one": '{"x":1,"y":"q\\"r"}', "many": '{"z":1}', "pairs": '{"k":1}'}
+    sink_table(frame.limit(0), tmp_path / "none.json")
+    assert json.loads((tmp_path / "none.json").read_text()) == []
+    sink_table(frame.select("id", "one"), tmp_path / "some.parquet", order=["id"])
+    assert [r.id for r in scan_table(tmp_path / "some.parquet", spark).collect()] == [1, 2, 3]
+    with pytest.raises(FileNotFoundError, match="table not found"):
+        scan_table(tmp_path / "absent.csv", spark)
+
+
 @pytest.mark.parametrize("suffix", [".csv", ".json", ".jsonl", ".NDJSON"])
 def test_text_outputs(spark, dataset, tmp_path, suffix):
     path, _ = run(spark, dataset, tmp_path, f"out{suffix}", min_subjects=3)
