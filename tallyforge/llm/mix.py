@@ -78,6 +78,7 @@ def mix(sized: DataFrame, targets: DataFrame, stash: Stash, budget: int | None =
 
     ``sized`` has ``doc_id, source, n_tokens``. The sum of tokens is at most the budget.
     """
+    sized = sized.select("doc_id", "source", "n_tokens")
     sources, budget, n = plan(sized, targets, budget)
     sources, kinds = stash.put(sources)
     small = F.broadcast(sources) if kinds <= MAX_BROADCAST_SOURCES else sources
