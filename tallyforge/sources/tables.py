@@ -106,7 +106,7 @@ def sink_table(
 
     The catalog is an aggregate, far smaller than its input, and the contract is one file: so
     one task sorts (spilling if need be) and writes it. Larger results belong into
-    ``frame.write`` and a folder.
+    ``frame.write`` and a folder. Driver and executors must share the path's file system.
     """
     path = Path(path)
     kind = format_ or output_format(path)
