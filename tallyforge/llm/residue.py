@@ -8,8 +8,9 @@ record is reported if one of its passages is more likely residue than speech and
 mention (a sentence that quotes or talks about such things).
 
 The model is fitted on a bounded sample of passages, at most ``TRUSTED_PASSAGES`` positive and
-``UNLABELLED_PASSAGES`` unlabelled ones, picked by hash over the whole corpus; scoring covers all
-texts in full. Null, empty and blank texts, and texts without any passage, are never reported.
+``UNLABELLED_PASSAGES`` unlabelled ones, picked by hash over the whole corpus. Both kinds count by
+how much of the corpus they stand for, so the model does not depend on how far either was thinned;
+scoring covers all texts in full. Null, empty and blank texts, and texts without any passage, are never reported.
 """
 
 from __future__ import annotations
@@ -209,6 +210,12 @@ def units(text: str) -> Iterator[tuple[str, bool, bool, list[int]]]:
                     yield passage, True, sign, [_HASH[k] for k in keys] + [_HASH["T:mark"]] * sign
 
 
+class Sample(list):
+    """Units (trusted or not, and features), and what a trusted one weighs where an unlabelled one weighs 1."""
+
+    trusted_weight = 1.0
+
+
 def fit(units_: list[tuple[bool, np.ndarray]]) -> np.ndarray:
     """Log odds per feature, the prior's last. ``units_``: trusted or not, and features."""
     if not units_:
@@ -217,19 +224,21 @@ def fit(units_: list[tuple[bool, np.ndarray]]) -> np.ndarray:
     sizes = np.array([len(u[1]) for u in units_])
     flat = np.concatenate([u[1] for u in units_]).astype(np.int64)
     owner = np.repeat(np.arange(len(units_)), sizes)
-    whole = np.bincount(flat, minlength=SPACE).astype(float)
+    size = np.where(trusted, getattr(units_, "trusted_weight", 1.0), 1.0)
+    known = np.bincount(flat, minlength=SPACE) >= 2
+    whole = np.bincount(flat, size[owner], minlength=SPACE)
     share = whole / max(1.0, whole.sum())
     weight = trusted.astype(float)
     odds = np.zeros(SPACE + 1)
     for _ in range(ROUNDS):
-        positive = np.bincount(flat, weight[owner], minlength=SPACE)
+        positive = np.bincount(flat, (weight * size)[owner], minlength=SPACE)
         negative = whole - positive
         good = (positive + SMOOTHING * share) / (positive.sum() + SMOOTHING)
         bad = (negative + SMOOTHING * share) / (negative.sum() + SMOOTHING)
         with np.errstate(divide="ignore", invalid="ignore"):
-            log = np.where(whole >= 2, np.log(good / bad), 0.0)
+            log = np.where(known, np.log(good / bad), 0.0)
         odds[:SPACE] = np.clip(np.nan_to_num(log, posinf=CLIP[1], neginf=CLIP[0]), *CLIP)
-        prior = np.clip(weight.mean(), 1e-4, 0.5)
+        prior = np.clip(np.average(weight, weights=size), 1e-4, 0.5)
         odds[SPACE] = np.log(prior / (1 - prior))
         score = np.bincount(owner, odds[flat], minlength=len(units_)) + odds[SPACE]
         weight = np.where(trusted, 1.0, 1 / (1 + np.exp(-np.clip(score, -30, 30))))
@@ -256,21 +265,22 @@ def _sample(rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All units of a share ``rate`` of the texts, and of the rest those with a trusted sign."""
         for batch in batches:
-            signs, picks, packed = [], [], []
-            for text in batch["text"].to_pylist():
-                chosen = zlib.crc32(text.encode("utf-8", "surrogatepass")) < rate * 2**32
+            signs, keys, places, packed = [], [], [], []
+            for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist()):
+                chosen = key % 2**32 < rate * 2**32
                 if not chosen and not any(
                     _TRUST.match(p) or (_MARKED.search(p) and _TRUST_SHAPE.search(p)) for p in passages(text)
                 ):
                     continue
-                for _, _, sign, own in units(text):
+                for place, (_, _, sign, own) in enumerate(units(text)):
                     if chosen or sign:
-                        data = np.array(sorted(own), np.int32).tobytes()
                         signs.append(sign)
-                        picks.append(zlib.crc32(data, 7))
-                        packed.append(data)
+                        keys.append(key)
+                        places.append(place)
+                        packed.append(np.array(sorted(own), np.int32).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signs, pa.bool_()), pa.array(picks, pa.int64()), pa.array(packed, pa.binary())], ["sign", "pick", "own"]
+                [pa.array(signs, pa.bool_()), pa.array(keys, pa.int64()), pa.array(places, pa.int64()), pa.array(packed, pa.binary())],
+                ["sign", "key", "place", "own"],
             )
 
     return run
@@ -290,13 +300,20 @@ def learn(texts: DataFrame) -> np.ndarray:
     size = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     rate = min(1.0, UNLABELLED_PASSAGES * CHARS_PER_PASSAGE / max(1, size))
     stash = Stash(texts.sparkSession)
-    found, _ = stash.put(texts.select("text").mapInArrow(_sample(rate), "sign boolean, pick bigint, own binary"))
-    rows = []
+    keyed = texts.select(F.xxhash64("doc_id", "text").alias("key"), "text")  # copies of a text are picked one by one
+    drawn = keyed.mapInArrow(_sample(rate), "sign boolean, key bigint, place bigint, own binary")
+    found, _ = stash.put(drawn.select("sign", F.xxhash64("key", "place", "own").alias("pick"), "own"))
+    count = {r["sign"]: r["count"] for r in found.groupBy("sign").count().collect()}
+    rows, kept = Sample(), {}
     for sign, most in ((True, TRUSTED_PASSAGES), (False, UNLABELLED_PASSAGES)):
         part = found.filter(F.col("sign") == sign).limit(2 * most).collect()
-        rows += sorted(part, key=lambda r: (r["pick"], r["own"]))[:most]
+        part = sorted(part, key=lambda r: (r["pick"], r["own"]))[:most]
+        kept[sign] = len(part) / max(1, count.get(sign, 0))
+        rows += [(sign, np.frombuffer(r["own"], np.int32)) for r in part]
     stash.drop(found)
-    return fit([(r["sign"], np.frombuffer(r["own"], np.int32)) for r in rows])
+    if kept[True] and kept[False]:
+        rows.trusted_weight = rate * kept[False] / kept[True]
+    return fit(rows)
 
 
 def find_residue(documents: DataFrame) -> DataFrame:
