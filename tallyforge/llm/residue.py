@@ -306,8 +306,7 @@ def learn(texts: DataFrame) -> np.ndarray:
     count = {r["sign"]: r["count"] for r in found.groupBy("sign").count().collect()}
     rows, kept = Sample(), {}
     for sign, most in ((True, TRUSTED_PASSAGES), (False, UNLABELLED_PASSAGES)):
-        part = found.filter(F.col("sign") == sign).limit(2 * most).collect()
-        part = sorted(part, key=lambda r: (r["pick"], r["own"]))[:most]
+        part = found.filter(F.col("sign") == sign).orderBy("pick", "own").limit(most).collect()
         kept[sign] = len(part) / max(1, count.get(sign, 0))
         rows += [(sign, np.frombuffer(r["own"], np.int32)) for r in part]
     stash.drop(found)

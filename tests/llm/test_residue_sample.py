@@ -40,3 +40,17 @@ def test_trusted_units_weigh_what_they_stand_for():
     whole, part = residue.fit(plain + signs), residue.fit(thinned)
     assert abs(whole[residue.SPACE] - part[residue.SPACE]) < 0.2
     assert np.abs(whole[40:50] - part[40:50]).max() < 0.7
+
+
+def test_sample_is_no_prefix(spark, monkeypatch):
+    """Kinds of residue that lie in later files are in the sample too."""
+    monkeypatch.setattr(residue, "TRUSTED_PASSAGES", 30)
+    seen = []
+    monkeypatch.setattr(residue, "fit", lambda rows: seen.extend(rows) or np.zeros(residue.SPACE + 1, np.float32))
+    first, later = "Lorem ipsum dolor sit amet", "Traceback (most recent call last):"
+    frame = spark.createDataFrame([(i, first if i < 300 else later) for i in range(600)], "doc_id long, text string")
+    residue.learn(frame.coalesce(1))
+    own = {t: next(np.array(sorted(u[3]), np.int32).tobytes() for u in residue.units(t)) for t in (first, later)}
+    found = [f.tobytes() for s, f in seen if s]
+    assert len(found) == 30
+    assert all(6 <= found.count(own[t]) <= 24 for t in own)
