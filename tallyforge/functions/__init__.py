@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -71,8 +70,10 @@ def is_blank(column: Column) -> Column:
     return column.isNull() | (F.trim(column) == "")
 
 
-def all_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
+def split_suffix(split: Column) -> Column:
+    """The suffix of ``split_column_names`` as an expression; null for a null split."""
+    words = F.lower(F.trim(F.regexp_replace(split, r"(?U)\W+", "_"), F.lit("_")))
+    return F.when(words == "", "unnamed").otherwise(words)
 
 
 def split_column_names(values: Sequence[str | None]) -> list[tuple[str, str, str]]:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import split_column_names
+from ..runtime import join_spread
 
 SplitColumns = Sequence[tuple[str, str, str]]
 _N, _NONE = "__n", "__no_split"
@@ -49,15 +50,18 @@ def count_cells(cells: DataFrame, keys: Sequence[str], split_columns: SplitColum
     return cells.groupBy(*_cols(keys)).agg(*sums)
 
 
-def code_occurrences(events: DataFrame, keys: Sequence[str], splits: Sequence[str] = ()) -> DataFrame:
+def code_occurrences(
+    events: DataFrame, keys: Sequence[str], splits: Sequence[str] = (), assigned: DataFrame | None = None
+) -> DataFrame:
     """``event_count`` and exact ``subject_count`` per key, without any privacy rule.
 
     ``splits`` adds a pair of columns per named split and ``_missing_split_count``, the number
-    of events whose ``split`` is null. A null subject counts as one subject. Without events
-    the result is empty.
+    of events whose ``split`` is null; the split is a column of ``events`` unless ``assigned``
+    gives it per subject. A null subject counts as one subject. Without events the result is empty.
     """
     wide = split_column_names(splits)
-    return count_cells(subject_cells(events, keys, wide), keys, wide)
+    cells = subject_cells(events, keys, wide) if assigned is None else split_cells(events, keys, assigned, wide)
+    return count_cells(cells, keys, wide)
 
 
 def union_cells(cells: DataFrame, scope: Sequence[str], split_columns: SplitColumns = ()) -> DataFrame:
@@ -66,14 +70,21 @@ def union_cells(cells: DataFrame, scope: Sequence[str], split_columns: SplitColu
     return cells.groupBy(*_cols([*scope, "subject_id"])).agg(*[F.sum(f"`{c}`").alias(c) for c in names])
 
 
-def attach_splits(events: DataFrame, splits: DataFrame) -> DataFrame:
-    """Events with their subject's ``split`` (null where unknown).
+def split_cells(events: DataFrame, keys: Sequence[str], splits: DataFrame, split_columns: SplitColumns = ()) -> DataFrame:
+    """``subject_cells`` of events whose ``split`` is their subject's in ``splits`` (null where unknown).
 
-    Not hinted: Spark broadcasts the splits only while they are below its size limit, and
-    splits hot subjects of a sorted join (AQE skew join) beyond it.
+    ``keys`` may hold ``split``. Events are combined to cells before they meet the splits, and
+    the cells of a subject that holds many are spread over tasks. A subject in two splits counts in both.
     """
-    right = splits.select(F.col("subject_id").alias("__subject"), "split")
-    return events.join(right, F.col("subject_id") == F.col("__subject"), "left").drop("__subject")
+    inner = [k for k in keys if k != "split"]
+    cells = subject_cells(events, inner)
+    joined = join_spread(cells, splits.select("subject_id", "split"), "subject_id", "left", [f"`{k}`" for k in inner], events)
+    sums = [F.sum(_N).alias(_N)]
+    if split_columns:
+        own = lambda test: F.sum(F.when(test, F.col(_N)).otherwise(F.lit(0).cast("bigint")))
+        sums += [own(F.col("split") == v).alias(f"__n_{name}") for v, name, _ in split_columns]
+        sums.append(own(F.col("split").isNull()).alias(_NONE))
+    return joined.groupBy(*_cols([*keys, "subject_id"])).agg(*sums)
 
 
 def duplicate_keys(frame: DataFrame, keys: Sequence[str]) -> DataFrame:

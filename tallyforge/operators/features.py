@@ -1,7 +1,7 @@
 """Per-entity features from events: cumulative daily cube, as-of endpoints, recency.
 
 Nulls: events without entity, type or time are not counted; a null (or non-finite) value adds
-0. Copies with one ``event_id`` count once; events without an id each count. Repeated
+0. Cents are summed as decimals; a total that does not fit a bigint is an error. Copies with one ``event_id`` count once; events without an id each count. Repeated
 cohort rows count once; a type listed twice counts once. Empty inputs give no rows.
 Extra columns are not read.
 """
@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import Stash
+
 _KEY = ["subject_id", "code"]
 
 
@@ -28,14 +30,22 @@ def base_events(events: DataFrame, subjects: DataFrame, types: DataFrame) -> Dat
         .join(types.select("code").distinct(), "code", "left_semi")
         .join(subjects.select("subject_id").distinct(), "subject_id", "left_semi")
     )
-    finite = F.abs(F.col("numeric_value")) < F.lit(9e15)
-    cents = F.when(finite, F.round(F.col("numeric_value") * 100)).otherwise(0).cast("bigint")
+    finite = F.abs(F.col("numeric_value")) < F.lit(float("inf"))
+    cents = F.when(finite, F.round(F.col("numeric_value") * 100)).otherwise(0).cast("decimal(28,0)")
     rows = wanted.select("event_id", *_KEY, "time", cents.alias("cents"))
     copies = rows.filter("event_id is not null").groupBy(*_KEY, "event_id")
     once = copies.agg(F.min(F.struct("time", "cents")).alias("e")).select(*_KEY, "e.time", "e.cents")
     return once.unionByName(rows.filter("event_id is null").drop("event_id"))
 
 
+def stored_cube(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``daily_cube`` and the base events, each written once to the shared folder."""
+    stash = Stash(base.sparkSession)
+    base, _ = stash.put(base)
+    cube, _ = stash.put(daily_cube(base))
+    return cube, base
+
+
 def daily_cube(base: DataFrame) -> DataFrame:
     """Running totals per entity, type and day: ``n``, ``cents`` up to and with the day, ``last_time``.
 
@@ -87,12 +97,12 @@ def feature_rows(events: DataFrame, cohort: DataFrame, types: DataFrame) -> Data
     """
     points = cohort.select("subject_id", F.col("index_time").alias("at")).distinct().filter("at is not null")
     base = base_events(events, points, types)
-    found = as_of(daily_cube(base), base, points)
+    found = as_of(*stored_cube(base), points)
     return found.select(
         *_KEY,
         F.col("n").alias("n_events"),
         _days_between(F.col("last_time"), F.col("at")).alias("days_since_last"),
-        F.col("cents").alias("total_cents"),
+        F.col("cents").cast("bigint").alias("total_cents"),
     )
 
 
@@ -110,17 +120,17 @@ def window_rows(events: DataFrame, cohort: DataFrame, types: DataFrame, days: Se
         "back",
     )
     base = base_events(events, points, types)
-    totals = as_of(daily_cube(base), base, points)
+    totals = as_of(*stored_cube(base), points)
     total = totals.filter("back = 0").select(*_KEY, "index_time", "n", "cents")
     each = total.select(*_KEY, "index_time", "n", "cents", F.explode(F.array(*[F.lit(int(d)) for d in days])).alias("back"))
     start = totals.filter("back > 0").select(*_KEY, "index_time", "back", F.col("n").alias("n0"), F.col("cents").alias("c0"))
     less = each.join(start, [*_KEY, "index_time", "back"], "left")
-    zero = F.lit(0).cast("bigint")
+    zero = F.lit(0)
     return less.select(
         *_KEY,
         F.col("back").alias("window_days"),
         (F.col("n") - F.coalesce("n0", zero)).alias("n_events"),
-        (F.col("cents") - F.coalesce("c0", zero)).alias("total_cents"),
+        (F.col("cents") - F.coalesce("c0", zero)).cast("bigint").alias("total_cents"),
     ).filter("n_events > 0")
 
 
@@ -134,9 +144,9 @@ def feature_table(events: DataFrame, cohort: DataFrame, types: DataFrame, number
     points = ends.filter("index_time is not null").select("subject_id", F.col("index_time").alias("at"))
     base = base_events(events, points, types)
     named = types.filter("code is not null").groupBy("code").agg(F.min("feature_no").alias("no"))
-    found = as_of(daily_cube(base), base, points).join(named, "code")
+    found = as_of(*stored_cube(base), points).join(named, "code")
     days = _days_between(F.col("last_time"), F.col("at"))
-    entry = F.struct("no", F.struct("n", days.alias("days"), "cents").alias("v"))
+    entry = F.struct("no", F.struct("n", days.alias("days"), F.col("cents").cast("bigint").alias("cents")).alias("v"))
     maps = found.groupBy("subject_id", "at").agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
     all_rows = ends.join(
         maps.withColumnRenamed("at", "__at").withColumnRenamed("subject_id", "__s"),

@@ -42,8 +42,7 @@ def segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def part_metadata(spark: SparkSession, folder: str) -> DataFrame:
-    """Metadata of six in seven parts."""
-    return table(spark, folder, "part").filter("p_partkey % 7 <> 0").select(
+    return table(spark, folder, "part").select(
         F.concat(F.lit("PART//"), F.col("p_partkey").cast("string")).alias("code"),
         F.col("p_name").alias("description"),
         F.array("p_brand", "p_type").alias("parent_codes"),
@@ -54,6 +53,11 @@ def med_events(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "med_events").select("subject_id", "code", "modifier")
 
 
+def subject_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """One split per subject (of several the least name), as a catalog wants it."""
+    return table(spark, folder, "subject_splits").groupBy("subject_id").agg(F.min("split").alias("split"))
+
+
 def med_metadata(spark: SparkSession, folder: str) -> DataFrame:
     """Code metadata, of each (code, modifier) the row with the least entry id."""
     codes = table(spark, folder, "codes")
@@ -78,8 +82,9 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
 BRANDS = f"""SELECT subject_id, p_brand || '//' || p_type AS code, modifier FROM ({ORDERS}) JOIN part ON p_partkey = l_partkey"""
 SEGMENTS = "SELECT c_custkey AS subject_id, c_mktsegment AS split FROM customer"
 PARTS = """SELECT 'PART//' || p_partkey AS code, p_name AS description, [p_brand, p_type] AS parent_codes
-FROM part WHERE p_partkey % 7 <> 0"""
+FROM part"""
 MED = "SELECT subject_id, code, modifier FROM med_events"
 MED_META = """SELECT code, modifier, description, parent_codes, entry_id FROM codes
 WHERE entry_id IN (SELECT min(entry_id) FROM codes GROUP BY code, modifier)"""
+MED_SPLITS = "SELECT subject_id, min(split) AS split FROM subject_splits GROUP BY subject_id"
 CONCEPTS = "SELECT * REPLACE (nullif(invalid_reason, '') AS invalid_reason) FROM concept"

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +13,9 @@ from ..config import SummaryConfig
 from ..functions import split_column_names
 from ..operators import counting, privacy
 from ..operators.enrichment import enrich_metadata
-from ..runtime import join_null_safe, session
+from ..runtime import Stash, join_null_safe, session
 from ..sources import meds, tables
 
-#: Most splits that wide mode turns into columns.
-MAX_SPLIT_COLUMNS = 1000
 RESERVED = ("event_count", "subject_count", "is_masked", "split")
 
 
@@ -47,21 +44,31 @@ class Catalog:
         self.keys = ["code", *self.modifiers]
         self.scope = ["split"] if config.per_split else []
         self.count_keys = [*self.scope, *self.keys]
-        events = self.events
         if config.per_split or config.split_columns:
             if self.splits is None:
                 raise ValueError("split modes need subject splits")
             if config.split_columns and not self.split_columns:
-                found = self.splits.select("split").distinct().orderBy("split").limit(MAX_SPLIT_COLUMNS + 1).collect()
+                # the names become columns, so the driver has to know them all
+                found = self.splits.select("split").distinct().orderBy("split").collect()
                 if not found:
                     raise ValueError("subject_splits contains no splits")
-                if len(found) > MAX_SPLIT_COLUMNS:
-                    raise ValueError(f"more than {MAX_SPLIT_COLUMNS} splits; use per_split")
                 self.split_columns = split_column_names([r[0] for r in found])
-            events = counting.attach_splits(events, self.splits)
-        self.cells = counting.subject_cells(events, self.count_keys, self.split_columns)
+            self.cells = counting.split_cells(self.events, self.count_keys, self.splits, self.split_columns)
+        else:
+            self.cells = counting.subject_cells(self.events, self.count_keys)
         self.bind()
 
+    def stored(self) -> Catalog:
+        """The same catalog with its cells written once to the shared folder, so that no later plan reads events again."""
+        self.stash = Stash(self.events.sparkSession)
+        self.cells, _ = self.stash.put(self.cells)
+        self.bind()
+        return self
+
+    def release(self) -> None:
+        """Delete the stored cells."""
+        self.stash.drop(self.cells)
+
     def bind(self) -> None:
         """Build the plans that hang on ``cells``."""
         config = self.config
@@ -132,20 +139,16 @@ def summarize(
     before = {k: spark.conf.get(k) for k in ("spark.sql.caseSensitive", "spark.sql.shuffle.partitions")}
     spark.conf.set("spark.sql.caseSensitive", "true")
     spark.conf.set("spark.sql.shuffle.partitions", str(config.partitions))
-    catalog = None
     try:
         metadata = meds.scan_code_metadata(root, spark)
         events = meds.scan_events(root, modifiers, spark)
         splits = meds.scan_subject_splits(root, spark) if config.per_split or config.split_columns else None
-        catalog = Catalog(events, metadata, config, modifiers, splits)
-        catalog.cells = catalog.cells.persist(StorageLevel.MEMORY_AND_DISK)
-        catalog.bind()
+        catalog = Catalog(events, metadata, config, modifiers, splits).stored()
         catalog.check()
         with tables.replacing(output) as staged:
             tables.sink_table(catalog.rows(), staged, kind, order=[*catalog.scope, *catalog.keys])
+        catalog.release()
     finally:
-        if catalog is not None:
-            catalog.cells.unpersist()
         for key, value in before.items():
             spark.conf.set(key, value)
     return output

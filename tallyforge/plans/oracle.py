@@ -44,12 +44,13 @@ def catalog(
     splits: str | None = None,
     wide: list[str] | None = None,
     min_split: int = 1,
+    listed: bool = True,
 ) -> str:
     wide, all_keys = wide or [], [*scope, *keys]
     sums = ", ".join(f"{a} AS {n}" for n, a in _counts(wide))
     source = f"SELECT e.*, s.split FROM ({events}) e LEFT JOIN ({splits}) s USING (subject_id)" if splits else events
     plain = [c for c in (metadata[1] if metadata else []) if c not in keys]
-    text = {c: _joined(f"m.{c}") if c == "parent_codes" else f"m.{c}" for c in plain}
+    text = {c: _joined(f"m.{c}") if listed and c == "parent_codes" else f"m.{c}" for c in plain}
     shown = "".join(f"{text[c]} AS {c}, " for c in plain)
     join = f"LEFT JOIN ({metadata[0]}) m ON {_same('c', 'm', list(keys))}" if plain else ""
     released = _released(wide, min_split, multiple)
@@ -104,7 +105,7 @@ def _listed(pairs: str, name: str) -> str:
 
 
 def _relation(make: str, name: str) -> str:
-    ids = "ids AS (SELECT DISTINCT concept_id FROM all_concepts WHERE concept_id % 3 = 0)"
+    ids = "ids AS (SELECT DISTINCT concept_id FROM all_concepts)"
     return f"WITH {_VOCABULARY}, {_EDGES}, {ids} {_listed(make, name)}"
 
 
@@ -144,7 +145,7 @@ def _joined(items: str) -> str:
     return f"CASE WHEN {items} IS NOT NULL THEN coalesce(array_to_string({items}, '|'), '') END"
 
 
-_META = "meta AS (SELECT code, description, parent_codes, entry_id FROM codes WHERE entry_id IN (SELECT min(entry_id) FROM codes GROUP BY code, modifier))"
+_META = "meta AS (SELECT code, description, parent_codes, entry_id FROM codes)"
 _LISTS = f"""ids AS (SELECT DISTINCT concept_id FROM best), pa AS ({_listed(_above('ids'), 'incoming')}),
 ch AS ({_listed(_below('ids', 3), 'child_codes')}), si AS ({_listed(_beside('ids'), 'sibling_codes')})"""
 _OWN = f"""own AS (SELECT m.entry_id, m.code, m.description AS d, b.*, pa.incoming, ch.child_codes, si.sibling_codes,
@@ -162,34 +163,43 @@ _COVERED = ", ".join(f"count({f}) AS {f}" for f in _FIELDS)
 _UNCOVERED = ", ".join(f"count({f}) AS {f}" if f in ("description", "parent_codes") else f"0 AS {f}" for f in _FIELDS)
 _MED_RARE = """SELECT code, modifier FROM med_events GROUP BY ALL HAVING count(DISTINCT subject_id) {test}"""
 _SPLIT_KEY = "coalesce(nullif(lower(trim(regexp_replace(split, '\\W+', '_', 'g'), '_')), ''), 'unnamed')"
-_CODE_META = "SELECT code, arg_min(description, entry_id) AS description FROM codes WHERE description IS NOT NULL GROUP BY code"
-_NAMED_META = f"""SELECT c.code, d.description FROM (SELECT DISTINCT code FROM codes) c LEFT JOIN ({_CODE_META}) d USING (code)"""
+_CATALOG_META = (bridge.MED_META, ["code", "modifier", "description", "parent_codes", "entry_id"])
+_FILE_SPLITS = """SELECT subject_id, CASE trim(s.split) WHEN 'TRAIN' THEN 'train' WHEN 'held-out' THEN 'held_out' ELSE coalesce(trim(s.split), 'none') END AS split
+FROM (SELECT DISTINCT subject_id FROM med_events) LEFT JOIN (SELECT subject_id, min(split) AS split FROM subject_splits GROUP BY subject_id) s USING (subject_id)"""
+_FILE_CATALOG = f"""SELECT *, row_number() OVER (ORDER BY code NULLS FIRST, modifier NULLS FIRST) - 1 AS place FROM ({
+    catalog(bridge.MED, 10, ("code", "modifier"), multiple=5, metadata=_CATALOG_META, splits=_FILE_SPLITS,
+            wide=["held_out", "none", "train", "tuning"], min_split=6)})"""
+_BLANKS = ", ".join(f"nullif({c}, '') AS {c}" for c in ("concept_name", "domain_id", "vocabulary_id", "concept_code", "standard_concept", "invalid_reason"))
+_FILE_CTES = _ENRICHED.replace(bridge.CONCEPTS, f"SELECT * REPLACE ({_BLANKS}) FROM concept")  # an export has no blank but null
+_PLACED = "SELECT *, row_number() OVER (ORDER BY entry_id) - 1 AS place FROM made"
+_CSV_META = _META.replace("parent_codes", f"string_split({_joined('parent_codes')}, '|') AS parent_codes")  # as CSV holds lists
+_FILE_ENRICHED = {"parquet": f"{_FILE_CTES} {_PLACED}", "ndjson": f"{_FILE_CTES} {_PLACED}", "csv": f"{_FILE_CTES.replace(_META, _CSV_META)} {_PLACED}"}
 
 ORACLE = {
     "code_counts": _occurrences(bridge.STREAM, "code"),
     "code_counts_modifiers": _occurrences(bridge.MED, "code, modifier"),
     "code_counts_splits": f"""
-SELECT code, count(*) AS event_count, count(DISTINCT subject_id) AS subject_count,
-  count(*) FILTER (WHERE split = 'BUILDING') AS event_count_building,
-  count(DISTINCT subject_id) FILTER (WHERE split = 'BUILDING') AS subject_count_building,
-  count(*) FILTER (WHERE split = 'MACHINERY') AS event_count_machinery,
-  count(DISTINCT subject_id) FILTER (WHERE split = 'MACHINERY') AS subject_count_machinery,
+SELECT code, count(*) AS event_count, count(DISTINCT coalesce(subject_id, -1)) AS subject_count,
+  count(*) FILTER (WHERE split = 'train') AS event_count_train,
+  count(DISTINCT subject_id) FILTER (WHERE split = 'train') AS subject_count_train,
+  count(*) FILTER (WHERE split = 'held_out') AS event_count_held_out,
+  count(DISTINCT subject_id) FILTER (WHERE split = 'held_out') AS subject_count_held_out,
   CAST(0 AS BIGINT) AS event_count_no_such_split, CAST(0 AS BIGINT) AS subject_count_no_such_split,
   count(*) FILTER (WHERE split IS NULL) AS _missing_split_count
-FROM ({bridge.BRANDS}) LEFT JOIN (SELECT * FROM ({bridge.SEGMENTS}) WHERE subject_id % 5 <> 0) USING (subject_id) GROUP BY code""",
+FROM ({bridge.MED}) LEFT JOIN ({bridge.MED_SPLITS}) USING (subject_id) GROUP BY code""",
     "summary_bucket": catalog(bridge.STREAM, 20),
     "summary_drop": catalog(bridge.ORDERS, 30, drop=True),
     "summary_rounded": catalog(bridge.ORDERS, 30, label="OTHER", multiple=10),
     "summary_modifiers": catalog(bridge.BRANDS, 120, keys=("code", "modifier")),
     "summary_null_modifiers": catalog(
-        bridge.MED, 10, keys=("code", "modifier"), metadata=(bridge.MED_META, ["code", "modifier", "description", "parent_codes", "entry_id"])
+        bridge.MED, 10, keys=("code", "modifier"), metadata=_CATALOG_META
     ),
     "summary_long": catalog(bridge.ORDERS, 6, scope=("split",), splits=bridge.SEGMENTS),
     "summary_wide": _wide_sql(1),
     "summary_wide_masked": _wide_sql(7),
     "split_missing": f"""
-SELECT code, count(*) AS _missing_split_count FROM ({bridge.ORDERS}) WHERE subject_id % 50 = 0
-  OR subject_id NOT IN (SELECT c_custkey FROM customer) GROUP BY code""",
+SELECT code, count(*) AS _missing_split_count FROM ({bridge.MED}) LEFT JOIN ({bridge.MED_SPLITS}) USING (subject_id)
+WHERE split IS NULL GROUP BY code""",
     "metadata_join": catalog(bridge.ORDERS, 30, metadata=(bridge.PARTS, ["code", "description", "parent_codes"])),
     "metadata_semijoin": f"""
 SELECT code, modifier, entry_id FROM ({bridge.MED_META}) m WHERE EXISTS (
@@ -209,11 +219,12 @@ SELECT DISTINCT split, 'event_count_' || {_SPLIT_KEY} AS event_column, 'subject_
     "siblings": _relation(_beside("ids"), "sibling_codes"),
     "enrich_merge": f"{_ENRICHED} SELECT * FROM made",
     "catalog_enriched": f"""
-WITH rows_ AS ({catalog('SELECT subject_id, code FROM med_events', 10, metadata=(_NAMED_META, ['code', 'description']))}),
-shown AS (SELECT code FROM rows_ WHERE NOT is_masked), {_VOCABULARY}, {_candidates('shown', references=False)}, {_BEST}
-SELECT r.code, coalesce(r.description, b.description) AS description, r.event_count, r.subject_count, r.is_masked,
-  b.vocabulary_id, b.concept_id, b.concept_code, b.domain_id, b.standard_concept
-FROM rows_ r LEFT JOIN best b ON b.target_code = r.code AND NOT r.is_masked""",
+WITH rows_ AS (SELECT *, row_number() OVER () AS row_ FROM ({catalog(bridge.MED, 10, ("code", "modifier"), metadata=_CATALOG_META, listed=False)})),
+meta AS (SELECT code, description, parent_codes, row_ AS entry_id FROM rows_ WHERE NOT is_masked),
+{_VOCABULARY}, {_EDGES}, {_candidates('meta')}, {_BEST}, {_LISTS}, {_OWN}
+SELECT r.code, r.modifier, coalesce(m.description, r.description) AS description, m.parent_codes, r.entry_id, r.event_count, r.subject_count,
+  r.is_masked, m.child_codes, m.sibling_codes, m.vocabulary_id, m.concept_id, m.concept_code, m.domain_id, m.standard_concept
+FROM rows_ r LEFT JOIN made m ON m.entry_id = r.row_""",
     "coverage_report": f"""{_ENRICHED}
 SELECT 'before' AS state, count(*) AS rows, count(DISTINCT code) AS unique_codes, {_UNCOVERED}, 0 AS matched_codes FROM meta
 UNION ALL
@@ -228,9 +239,11 @@ SELECT entry_id, {_joined(_SLASH.format(p='parent_codes'))} AS doubled, {_joined
   list_filter(parent_codes, lambda x: x IS NOT NULL)[1] AS first_reference,
   CASE WHEN contains(parent_codes[1], '//') THEN string_split(parent_codes[1], '//')[2] ELSE string_split(parent_codes[1], '/')[2] END
     AS second_part
-FROM ({bridge.MED_META})""",
+FROM codes""",
     "split_cell_mask": f"""
 WITH ev AS (SELECT * FROM ({bridge.BRANDS}) LEFT JOIN ({bridge.SEGMENTS}) USING (subject_id)),
 c AS (SELECT code, modifier, {", ".join(f"{a} AS {n}" for n, a in _counts(SEGMENTS))} FROM ev GROUP BY code, modifier)
 SELECT code, modifier, {_released(SEGMENTS, 20, 5)} FROM c""",
 }
+ORACLE |= {f"summarize_{s}": _FILE_CATALOG for s in ("parquet", "csv", "json", "jsonl")}
+ORACLE |= {f"enrich_file_{s}": sql for s, sql in _FILE_ENRICHED.items()}

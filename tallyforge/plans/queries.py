@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +12,11 @@ from .. import functions as fn
 from ..config import EnrichmentConfig, SummaryConfig
 from ..operators import counting, coverage, enrichment, privacy, vocabulary
 from ..runtime import join_null_safe, table
+from ..sources import tables
 from ..sources.tables import flatten_nested
-from . import bridge
-from .catalog import Catalog
+from . import bridge, files
+from .catalog import Catalog, summarize
+from .enrich_file import enrich_file
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 ENRICH = EnrichmentConfig(csv_dir="unused", child_codes=True, sibling_codes=True)
@@ -30,6 +33,11 @@ def _flat(frame: DataFrame) -> DataFrame:
     return flatten_nested(frame)
 
 
+def _rows(*args, **options) -> DataFrame:
+    """Rows of a catalog whose cells are stored once, as ``summarize`` does."""
+    return Catalog(*args, **options).stored().rows()
+
+
 def _no_metadata(spark: SparkSession, *modifiers: str) -> DataFrame:
     return spark.createDataFrame([], ", ".join(f"{c} string" for c in ("code", *modifiers)))
 
@@ -46,47 +54,47 @@ def code_counts_modifiers(spark, folder):
 
 @query
 def code_counts_splits(spark, folder):
-    events = counting.attach_splits(bridge.brand_events(spark, folder), bridge.segments(spark, folder).filter("subject_id % 5 <> 0"))
-    return counting.code_occurrences(events, ["code"], ["BUILDING", "MACHINERY", "no such split"])
+    events, splits = bridge.med_events(spark, folder), bridge.subject_splits(spark, folder)
+    return counting.code_occurrences(events, ["code"], ["train", "held_out", "no such split"], splits)
 
 
 @query
 def summary_bucket(spark, folder):
-    return Catalog(bridge.stream_events(spark, folder), _no_metadata(spark), SummaryConfig()).rows()
+    return _rows(bridge.stream_events(spark, folder), _no_metadata(spark), SummaryConfig())
 
 
 @query
 def summary_drop(spark, folder):
     config = SummaryConfig(min_subjects=30, rare_code_action="drop")
-    return Catalog(bridge.order_events(spark, folder), _no_metadata(spark), config).rows()
+    return _rows(bridge.order_events(spark, folder), _no_metadata(spark), config)
 
 
 @query
 def summary_rounded(spark, folder):
     config = SummaryConfig(min_subjects=30, round_counts_to=10, rare_code_label="OTHER")
-    return Catalog(bridge.order_events(spark, folder), _no_metadata(spark), config).rows()
+    return _rows(bridge.order_events(spark, folder), _no_metadata(spark), config)
 
 
 @query
 def summary_modifiers(spark, folder):
-    return Catalog(bridge.brand_events(spark, folder), _no_metadata(spark, "modifier"), SummaryConfig(min_subjects=120), ["modifier"]).rows()
+    return _rows(bridge.brand_events(spark, folder), _no_metadata(spark, "modifier"), SummaryConfig(min_subjects=120), ["modifier"])
 
 
 @query
 def summary_null_modifiers(spark, folder):
     metadata = bridge.med_metadata(spark, folder)
-    return _flat(Catalog(bridge.med_events(spark, folder), metadata, SummaryConfig(min_subjects=10), ["modifier"]).rows())
+    return _flat(_rows(bridge.med_events(spark, folder), metadata, SummaryConfig(min_subjects=10), ["modifier"]))
 
 
 @query
 def summary_long(spark, folder):
     config = SummaryConfig(per_split=True, min_subjects=6)
-    return Catalog(bridge.order_events(spark, folder), _no_metadata(spark), config, splits=bridge.segments(spark, folder)).rows()
+    return _rows(bridge.order_events(spark, folder), _no_metadata(spark), config, splits=bridge.segments(spark, folder))
 
 
 def _wide(spark, folder, min_split):
     config = SummaryConfig(split_columns=True, min_subjects=30, min_split_subjects=min_split)
-    return Catalog(bridge.order_events(spark, folder), _no_metadata(spark), config, splits=bridge.segments(spark, folder)).rows()
+    return _rows(bridge.order_events(spark, folder), _no_metadata(spark), config, splits=bridge.segments(spark, folder))
 
 
 @query
@@ -101,22 +109,20 @@ def summary_wide_masked(spark, folder):
 
 @query
 def split_missing(spark, folder):
-    splits = bridge.segments(spark, folder).filter("subject_id % 50 <> 0")
-    events = counting.attach_splits(bridge.order_events(spark, folder), splits)
-    counts = counting.code_occurrences(events, ["code"], SEGMENTS)
+    events, splits = bridge.med_events(spark, folder), bridge.subject_splits(spark, folder)
+    counts = counting.code_occurrences(events, ["code"], ["train"], splits)
     return counts.filter("_missing_split_count > 0").select("code", "_missing_split_count")
 
 
 @query
 def metadata_join(spark, folder):
-    catalog = Catalog(bridge.order_events(spark, folder), bridge.part_metadata(spark, folder), SummaryConfig(min_subjects=30))
-    return _flat(catalog.rows())
+    return _flat(_rows(bridge.order_events(spark, folder), bridge.part_metadata(spark, folder), SummaryConfig(min_subjects=30)))
 
 
 @query
 def metadata_semijoin(spark, folder):
     metadata = bridge.med_metadata(spark, folder)
-    catalog = Catalog(bridge.med_events(spark, folder), metadata, SummaryConfig(min_subjects=10), ["modifier"])
+    catalog = Catalog(bridge.med_events(spark, folder), metadata, SummaryConfig(min_subjects=10), ["modifier"]).stored()
     return catalog.released_metadata.select("code", "modifier", "entry_id")
 
 
@@ -132,7 +138,7 @@ def dup_split_check(spark, folder):
 
 @query
 def rare_keys_events(spark, folder):
-    catalog = Catalog(bridge.med_events(spark, folder), _no_metadata(spark, "modifier"), SummaryConfig(), ["modifier"])
+    catalog = Catalog(bridge.med_events(spark, folder), _no_metadata(spark, "modifier"), SummaryConfig(), ["modifier"]).stored()
     rare = privacy.rare_rows(catalog.counts, 20).select("code", "modifier")
     cells = join_null_safe(catalog.cells, rare, ["code", "modifier"], "left_semi")
     return counting.union_cells(cells, []).select("subject_id", F.col("__n").alias("rare_events"))
@@ -140,13 +146,16 @@ def rare_keys_events(spark, folder):
 
 @query
 def split_names(spark, folder):
-    found = table(spark, folder, "subject_splits").select("split").distinct().orderBy("split").limit(1001).collect()
-    names = [n for s in found for n in fn.split_column_names([s[0]])]
-    return spark.createDataFrame(names, "split string, event_column string, subject_column string")
+    suffix = fn.split_suffix(F.col("split"))
+    return table(spark, folder, "subject_splits").select(
+        "split",
+        F.concat(F.lit("event_count_"), suffix).alias("event_column"),
+        F.concat(F.lit("subject_count_"), suffix).alias("subject_column"),
+    ).distinct()
 
 
 def _codes(spark, folder):
-    return bridge.med_metadata(spark, folder).select("code", "description", "parent_codes")
+    return table(spark, folder, "codes").select("code", "description", "parent_codes")
 
 
 @query
@@ -187,23 +196,19 @@ def siblings(spark, folder):
 
 @query
 def enrich_merge(spark, folder):
-    frame = bridge.med_metadata(spark, folder).select("entry_id", "code", "description", "parent_codes")
+    frame = table(spark, folder, "codes").select("entry_id", "code", "description", "parent_codes")
     return _flat(enrichment.enrich_with(frame, bridge.concepts(spark, folder), bridge.ancestors(spark, folder), ENRICH))
 
 
 @query
 def catalog_enriched(spark, folder):
-    events = bridge.med_events(spark, folder).drop("modifier")
-    described = F.when(F.col("description").isNotNull(), F.col("entry_id"))
-    metadata = bridge.med_metadata(spark, folder).groupBy("code").agg(F.min_by("description", described).alias("description"))
-    rows = Catalog(events, metadata, SummaryConfig(min_subjects=10)).rows()
-    config = EnrichmentConfig(csv_dir="unused", parent_codes=False)
-    return enrichment.enrich_with(rows, bridge.concepts(spark, folder), None, config)
+    rows = _rows(bridge.med_events(spark, folder), bridge.med_metadata(spark, folder), SummaryConfig(min_subjects=10), ["modifier"])
+    return _flat(enrichment.enrich_with(rows, bridge.concepts(spark, folder), bridge.ancestors(spark, folder), ENRICH))
 
 
 @query
 def coverage_report(spark, folder):
-    frame = bridge.med_metadata(spark, folder).select("entry_id", "code", "description", "parent_codes")
+    frame = table(spark, folder, "codes").select("entry_id", "code", "description", "parent_codes")
     made = enrichment.enrich_with(frame, bridge.concepts(spark, folder), bridge.ancestors(spark, folder), ENRICH)
     before, after = coverage.coverage(frame), coverage.coverage(made)
     return before.select(F.lit("before").alias("state"), "*").unionByName(after.select(F.lit("after").alias("state"), "*"))
@@ -217,7 +222,7 @@ def csv_flatten(spark, folder):
 
 @query
 def list_functions(spark, folder):
-    frame = bridge.med_metadata(spark, folder)
+    frame = table(spark, folder, "codes")
     parents_ = F.col("parent_codes")
     return _flat(
         frame.select(
@@ -235,6 +240,33 @@ def list_functions(spark, folder):
 @query
 def split_cell_mask(spark, folder):
     wide = fn.split_column_names(SEGMENTS)
-    events = counting.attach_splits(bridge.brand_events(spark, folder), bridge.segments(spark, folder))
-    counts = counting.code_occurrences(events, ["code", "modifier"], SEGMENTS)
+    counts = counting.code_occurrences(bridge.brand_events(spark, folder), ["code", "modifier"], SEGMENTS, bridge.segments(spark, folder))
     return privacy.round_counts(privacy.mask_split_cells(counts, wide, 20), 5, privacy.count_names(wide)).drop("_missing_split_count")
+
+
+def _read_back(path, spark):
+    """The rows of a written file with their place in it."""
+    return _flat(tables.scan_table(path, spark).coalesce(1).withColumn("place", F.monotonically_increasing_id()))
+
+
+def _summarized(suffix):
+    def run(spark, folder):
+        root = files.dataset(spark, folder)
+        config = SummaryConfig(min_subjects=10, split_columns=True, min_split_subjects=6, round_counts_to=5)
+        return _read_back(summarize(root, root / f"catalog{suffix}", config, spark), spark)
+
+    return run
+
+
+def _enriched_file(suffix):
+    def run(spark, folder):
+        root = files.vocabulary(spark, folder)
+        tables.sink_table(table(spark, folder, "codes").select("entry_id", "code", "description", "parent_codes"), root / f"in{suffix}", order=["entry_id"])
+        config = replace(ENRICH, csv_dir=root)
+        return _read_back(enrich_file(root / f"in{suffix}", root / f"out{suffix}", config, spark=spark), spark)
+
+    return run
+
+
+QUERIES |= {f"summarize_{s}": _summarized(f".{s}") for s in ("parquet", "csv", "json", "jsonl")}
+QUERIES |= {f"enrich_file_{s}": _enriched_file(f".{s}") for s in ("parquet", "csv", "ndjson")}

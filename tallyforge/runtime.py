@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,8 @@ def session(spark: SparkSession | None = None) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or the one set on the context.
 
-    Only where neither is set (tests, local mode) a temporary folder is made.
+    Only in local mode, where driver and executors are one process, a temporary folder is
+    made if neither is set; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -28,6 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
     known = context._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="tallyforge-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     context.setCheckpointDir(made)
@@ -37,9 +41,9 @@ def shared_folder(spark: SparkSession) -> str:
 class Stash:
     """Tables written once into the shared folder: they cut lineage and survive lost executors.
 
-    ``put`` returns the table read back and its row count (taken while writing, so
-    it costs no second pass). ``drop`` deletes a table that is no longer needed; the
-    rest goes when the JVM ends.
+    ``put`` returns the table read back and its row count. The count is taken by the writing
+    (result) stage, whose updates Spark applies once per partition however often a task
+    is tried. ``drop`` deletes a table that is no longer needed; the rest goes when the JVM ends.
     """
 
     def __init__(self, spark: SparkSession):
@@ -48,7 +52,7 @@ class Stash:
         self.files = self._path(self.base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.files.deleteOnExit(self._path(self.base))
         self.number = 0
-        self.kept: dict[int, str] = {}
+        self.kept: dict[str, DataFrame] = {}
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(name)
@@ -59,19 +63,51 @@ class Stash:
         seen = Observation()
         frame.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(name)
         back = self.spark.read.schema(frame.schema).parquet(name)
-        self.kept[id(back)] = name
+        self.kept[name] = back
         return back, int(seen.get["n"])
 
+    def _name(self, frame: DataFrame) -> str | None:
+        return next((name for name, kept in self.kept.items() if kept is frame), None)
+
     def together(self, frames: list[DataFrame]) -> DataFrame:
         """Tables of one schema, written by ``put``, as a single scan."""
-        names = [self.kept[id(f)] for f in frames]
-        return self.spark.read.schema(frames[0].schema).parquet(*names)
+        return self.spark.read.schema(frames[0].schema).parquet(*[self._name(f) for f in frames])
 
     def drop(self, frame: DataFrame) -> None:
-        if name := self.kept.pop(id(frame), None):
+        if name := self._name(frame):
+            del self.kept[name]
             self.files.delete(self._path(name), True)
 
 
+#: A key with more than this share of the left rows (and more rows than ``HOT_ROWS``) is cut into chunks.
+HOT_PARTS, HOT_ROWS = 2000, 100_000
+
+
+def join_spread(
+    left: DataFrame, right: DataFrame, key: str, how: str, by: Sequence[str], counted: DataFrame | None = None
+) -> DataFrame:
+    """Equi-join on ``key`` in which no left key fills a task: ``inner``, ``left``, ``left_semi`` or ``left_anti``.
+
+    Left keys are counted first (combined before the shuffle), in ``left`` or in a cheaper frame
+    ``counted`` that holds each key at least as often. The rows of a key that holds more
+    than ``1/HOT_PARTS`` of them are cut by a hash of ``by`` into chunks of about that
+    size, and the right rows of that key are repeated for each chunk. There are fewer than ``HOT_PARTS`` such keys, so
+    their list is broadcast. Without one it is a plain join; the result is the same. Null keys meet nothing.
+    Columns other than the key must differ in name.
+    """
+    sizes = (left if counted is None else counted).filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    seen = sizes.agg(F.sum("__n").alias("total"), F.max("__n").alias("most")).first()
+    limit = max((seen["total"] or 0) // HOT_PARTS, HOT_ROWS)
+    if (seen["most"] or 0) <= limit:
+        return left.join(right, key, how)
+    hot = F.broadcast(sizes.filter(F.col("__n") > limit).select(key, F.ceil(F.col("__n") / limit).cast("int").alias("__chunks")))
+    chunks = F.coalesce("__chunks", F.lit(1))
+    cut = F.when(F.col(key).isNull(), HOT_PARTS).otherwise(chunks)
+    own = left.join(hot, key, "left").withColumn("__chunk", F.pmod(F.xxhash64(*by), cut).cast("int")).drop("__chunks")
+    met = right.join(hot, key, "left").withColumn("__chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).drop("__chunks")
+    return own.join(met, [key, "__chunk"], how).drop("__chunk")
+
+
 def lit_null(type_: str) -> Column:
     return F.lit(None).cast(type_)
 

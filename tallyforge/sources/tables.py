@@ -20,6 +20,10 @@ from ..runtime import session
 FORMATS = {".parquet": "parquet", ".csv": "csv", ".json": "json", ".jsonl": "ndjson", ".ndjson": "ndjson"}
 
 
+#: What Spark's reader takes an empty, unquoted cell for; no text holds it.
+_NO_CELL = "\x00\x00"
+
+
 def output_format(path: str | Path) -> str:
     """Format that the suffix names, in any case."""
     suffix = Path(path).suffix
@@ -49,9 +53,9 @@ def _first_record_order(path: Path, lines: bool) -> list[str]:
 def scan_table(path: str | Path, spark: SparkSession | None = None) -> DataFrame:
     """Read a table by its suffix.
 
-    CSV: header, RFC-4180 quotes, empty cells are null, types are inferred, but the text
-    columns ``code`` and ``concept_code`` stay strings (``02`` is not 2). JSON columns
-    keep the order of the first record.
+    CSV: header, RFC-4180 quotes, empty cells are null and quoted empty ones blank. Numbers and
+    Booleans are inferred; dates and times stay text as they stand, and so do the text columns ``code``, ``concept_code``,
+    ``vocabulary_id`` and ``description`` (``02`` is not 2). JSON columns keep the order of the first record.
     """
     path = Path(path).expanduser().resolve()
     kind = output_format(path)
@@ -63,10 +67,13 @@ def scan_table(path: str | Path, spark: SparkSession | None = None) -> DataFrame
     if kind == "parquet":
         return read.parquet(str(path))
     if kind == "csv":
-        options = {"header": True, "escape": '"', "multiLine": True}
-        typed = read.options(**options, inferSchema=True).csv(str(path)).schema
+        options = {"header": True, "escape": '"', "multiLine": True, "nullValue": _NO_CELL, "emptyValue": ""}
+        typed = read.options(**options, inferSchema=True, prefersDate=False).csv(str(path)).schema
         text = {"code", "concept_code", "vocabulary_id", "description"}
-        wanted = T.StructType([T.StructField(f.name, T.StringType() if f.name in text else f.dataType) for f in typed])
+        kept = (T.NumericType, T.BooleanType)
+        wanted = T.StructType(
+            [T.StructField(f.name, f.dataType if isinstance(f.dataType, kept) and f.name not in text else T.StringType()) for f in typed]
+        )
         return read.options(**options).schema(wanted).csv(str(path))
     frame = read.option("multiLine", kind == "json").json(str(path))
     first = [n for n in _first_record_order(path, kind == "ndjson") if n in frame.columns]
@@ -94,7 +101,7 @@ def _write_part(frame: DataFrame, kind: str, folder: Path) -> None:
     if kind == "parquet":
         writer.parquet(str(folder))
     elif kind == "csv":
-        writer.options(header=True, escape='"', emptyValue='""').csv(str(folder))
+        writer.options(header=True, escape='"', emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(str(folder))
     else:
         writer.option("ignoreNullFields", False).json(str(folder))
 
