@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import full_code, part, reference_parts, split_on
+from ..runtime import join_spread
 
 ATTRIBUTES = ["description", "vocabulary_id", "concept_id", "concept_code", "domain_id", "standard_concept"]
 
@@ -109,10 +110,13 @@ def children(ids: DataFrame, edges: DataFrame, concepts: DataFrame, depth: int)
 
 
 def siblings(ids: DataFrame, edges: DataFrame, concepts: DataFrame) -> DataFrame:
-    """Direct children of every valid ancestor, without the concept itself."""
+    """Direct children of every valid ancestor, without the concept itself.
+
+    An ancestor of very many concepts (a root is one of nearly all) meets its children in several tasks.
+    """
     above = ids.join(edges, F.col("concept_id") == F.col("descendant")).select("concept_id", F.col("ancestor").alias("via"))
     known = valid_concepts(concepts).select(F.col("concept_id").alias("via"))
     above = above.join(known, "via", "left_semi").distinct()
     below = edges.filter("level = 1").select(F.col("ancestor").alias("via"), F.col("descendant").alias("related"))
-    pairs = above.join(below, "via").filter("related <> concept_id").select("concept_id", "related").distinct()
+    pairs = join_spread(above, below, "via", "inner", ["concept_id"]).filter("related <> concept_id").select("concept_id", "related").distinct()
     return _lists(pairs, concepts, "sibling_codes")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import is_blank
 from ..operators import features, hierarchy, orphans, skew, unpack
-from ..runtime import table
+from ..runtime import Stash, table
 
 #: Share of all rows from which a key counts as hot in p4_found.
 HEAVY_SHARE = Fraction(1, 100)
@@ -64,11 +64,11 @@ def p4_quantiles(spark: SparkSession, folder: str) -> DataFrame:
 
 def _orphans(spark: SparkSession, folder: str) -> DataFrame:
     events, codes = table(spark, folder, "med_events"), table(spark, folder, "codes")
-    splits, concept = table(spark, folder, "subject_splits"), table(spark, folder, "concept")
-    by_code = orphans.timed_orphans(events, "code", "loaded_at", codes, "code", "registered_at", "deleted_at")
-    by_subject = orphans.timed_orphans(events, "subject_id", "loaded_at", splits, "subject_id", "assigned_at", "removed_at")
+    splits, concept, stash = table(spark, folder, "subject_splits"), table(spark, folder, "concept"), Stash(spark)
+    by_code = orphans.timed_orphans(events, "code", "loaded_at", codes, "code", "registered_at", "deleted_at", stash)
+    by_subject = orphans.timed_orphans(events, "subject_id", "loaded_at", splits, "subject_id", "assigned_at", "removed_at", stash)
     by_concept = orphans.state_orphans(
-        table(spark, folder, "concept_ancestor"), "descendant_concept_id", "loaded_at", concept, "concept_id", is_blank(F.col("invalid_reason"))
+        table(spark, folder, "concept_ancestor"), "descendant_concept_id", "loaded_at", concept, "concept_id", is_blank(F.col("invalid_reason")), stash
     )
     return (
         orphans.named(by_code, "med_events", "code")
@@ -78,13 +78,12 @@ def _orphans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _orphans(spark, folder).distinct()
+    return _orphans(spark, folder).drop("n")
 
 
 def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
     keys = ["table_name", "field_name", "period", "kind"]
-    per_key = _orphans(spark, folder).groupBy(*keys, "ref_key").agg(F.count(F.lit(1)).alias("n"))
-    return per_key.groupBy(*keys).agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_keys"))
+    return _orphans(spark, folder).groupBy(*keys).agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_keys"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

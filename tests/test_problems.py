@@ -165,7 +165,7 @@ def test_heavy_keys_and_quantiles(spark, monkeypatch):
 
 
 # 5 ---------------------------------------------------------------- orphans
-def test_orphans(spark):
+def test_orphans(spark, monkeypatch):
     t = lambda d: datetime(2021, 1, 1) + timedelta(days=d)
     parents = spark.createDataFrame(
         [("ok", t(0), None), ("ok", t(0), None), ("gap", t(0), t(10)), ("gap", t(20), None), ("touch", t(0), t(10)),
@@ -175,16 +175,18 @@ def test_orphans(spark):
     refs = [("ok", t(0)), ("ok", t(400)), ("gap", t(9)), ("gap", t(10)), ("gap", t(25)), ("touch", t(10)), ("touch", t(40)), ("late", t(29)),
             ("late", t(30)), ("never", t(1)), ("none", t(2)), ("none", None), ("ok", None), (None, t(1)), ("odd", t(9)), ("odd", t(5)), ("gap", t(10))]
     rows = spark.createDataFrame(refs, "code string, at timestamp_ntz").withColumn("kind", F.lit(1))
-    found = orphans.timed_orphans(rows, "code", "at", parents, "code", "s", "e")
-    expected = [("gap", t(10), "deleted")] * 2 + [("touch", t(40), "deleted"), ("late", t(29), "late"), ("never", t(1), "late")]
-    expected += [("none", t(2), "missing"), ("none", None, "missing"), ("odd", t(9), "deleted"), ("odd", t(5), "late")]
-    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, expected))
+    expected = [("gap", "2021-01", "deleted", 2), ("touch", "2021-02", "deleted", 1), ("late", "2021-01", "late", 1), ("never", "2021-01", "late", 1)]
+    expected += [("none", "2021-01", "missing", 1), ("none", None, "missing", 1), ("odd", "2021-01", "deleted", 1), ("odd", "2021-01", "late", 1)]
+    for few in (0, 50_000):  # months in doubt joined, or sent to all tasks
+        monkeypatch.setattr(orphans, "MIXED_ROWS", few)
+        found = orphans.timed_orphans(rows, "code", "at", parents, "code", "s", "e", Stash(spark))
+        assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, expected))
     assert {r.period for r in orphans.named(found, "t", "f").collect()} == {"2021-01", "2021-02", None}
-    empty = orphans.timed_orphans(rows, "code", "at", parents.limit(0), "code", "s", "e")
-    assert {r.kind for r in empty.collect()} == {"missing"} and empty.count() == len(refs) - 1
+    empty = orphans.timed_orphans(rows, "code", "at", parents.limit(0), "code", "s", "e", Stash(spark)).collect()
+    assert {r.kind for r in empty} == {"missing"} and sum(r.n for r in empty) == len(refs) - 1
     state = spark.createDataFrame([(1, None), (2, "D"), (2, " "), (3, "D"), (3, "U")], "id long, why string")
     links = spark.createDataFrame([(1, t(0)), (2, t(0)), (3, t(0)), (4, t(0)), (None, t(0))], "d long, at timestamp_ntz")
-    bad = orphans.state_orphans(links, "d", "at", state, "id", F.col("why").isNull() | (F.trim("why") == ""))
+    bad = orphans.state_orphans(links, "d", "at", state, "id", F.col("why").isNull() | (F.trim("why") == ""), Stash(spark))
     assert sorted((r.ref, r.kind) for r in bad.collect()) == [(3, "deleted"), (4, "missing")]
 
 
@@ -196,7 +198,6 @@ CASES = [
     ('"PROC//P//start" ;"LAB//1x4"" strip"', ["PROC//P//start", 'LAB//1x4" strip']),
     ("['A//1' ,'B//2']", ["A//1", "B//2"]),
     ("LAB//T, w++PROC//P+LAB//1x6\" cuff+DXM//J.1||", ["LAB//T, w", "PROC//P", 'LAB//1x6" cuff', "DXM//J.1"]),
-    ("PANEL//2 (LAB//7, LAB//8)", ["PANEL//2 (LAB//7, LAB//8)"]),
     ("PANEL//2 (LAB//7, LAB//8", ["PANEL//2 (LAB//7", "LAB//8"]),
     ("MED//kit 1 A|B", ["MED//kit 1 A|B"]),
     ('NOTE//"left skin strain" 9;MED//x', ['NOTE//"left skin strain" 9', "MED//x"]),
@@ -216,8 +217,23 @@ def test_known_value_protects_its_delimiter():
     assert unpack.segment(text, False, {0: [13]}) == ["SET//A;SET//B", "MED//x"]
 
 
+def test_dictionary_decides(spark):
+    """Values of several names, quoted or in parentheses in one row, stand bare in another: only the dictionary keeps them whole."""
+    panels = [f"PANEL//{i} (LAB//{i}, LAB//{i + 1})" for i in range(30)] + [f"SET//{i}; SET//b{i}" for i in range(30)]
+    rows, expected = [], []
+    for i, p in enumerate(panels):
+        rows += [(i, f'"{p}"|MED//x{i}'), (100 + i, f"MED//y{i}, {p},PROC//{i}//end"), (200 + i, p)]
+        expected += [(i, 0, p), (i, 1, f"MED//x{i}"), (100 + i, 0, f"MED//y{i}"), (100 + i, 1, p), (100 + i, 2, f"PROC//{i}//end")]
+    frame = spark.createDataFrame([(e, c, None) for e, c in rows], "entry_id long, code string, parent_codes array<string>")
+    made = lambda *d: {(r.entry_id, r.pos, r.value) for r in unpack.unpack(frame, *d).collect()}
+    assert made() == set(expected)
+    without = made(spark.createDataFrame([], "word string"))
+    wrong = {e for e, _, _ in without ^ set(expected)}
+    assert wrong == {e for e, _ in rows if e >= 100}  # 120 of 180 fields
+
+
 def test_unpack(spark, monkeypatch):
-    monkeypatch.setattr(unpack, "DICTIONARY_BYTES", 20)  # several automata
+    monkeypatch.setattr(unpack, "CHUNK_CHARS", 5)  # many automata
     rows = [
         (1, "A//1;B//2", None, 0),
         (2, "A//1", ["X/1", None, "", " Y//2|Z z/3 ", "'Q//4'"], 0),
