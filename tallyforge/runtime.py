@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -38,16 +39,38 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: Settings of a packed stash.
+PACKED = {
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m",
+}
+
+
+@contextmanager
+def configured(spark: SparkSession, settings: dict[str, str]):
+    """Session settings for a while; what they were before comes back."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 class Stash:
     """Tables written once into the shared folder: they cut lineage and survive lost executors.
 
     ``put`` returns the table read back and its row count. The count is taken by the writing
     (result) stage, whose updates Spark applies once per partition however often a task
     is tried. ``drop`` deletes a table that is no longer needed; the rest goes when the JVM ends.
+    ``packed`` lets a write join shuffle partitions up to 4 MB, also below the number of
+    cores: for iterations, whose rounds are often tiny and then cost little but tasks and files.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, packed: bool = False):
+        self.spark, self.packed = spark, packed
         self.base = f"{shared_folder(spark)}/tallyforge-{uuid.uuid4().hex}"
         self.files = self._path(self.base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.files.deleteOnExit(self._path(self.base))
@@ -61,7 +84,8 @@ class Stash:
         self.number += 1
         name = f"{self.base}/{self.number}"
         seen = Observation()
-        frame.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(name)
+        with configured(self.spark, PACKED if self.packed else {}):
+            frame.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(name)
         back = self.spark.read.schema(frame.schema).parquet(name)
         self.kept[name] = back
         return back, int(seen.get["n"])

@@ -51,19 +51,56 @@ def graph(seed):
     return [(p, c) for p, c in pairs if p != c] * 2
 
 
-@pytest.mark.parametrize(("local", "chunk", "hops"), [(0, 7, 1), (500_000, 7, 1), (500_000, 4096, 16), (500_000, 7, 4)])
-def test_roots_depths_and_loops(spark, monkeypatch, local, chunk, hops):
-    monkeypatch.setattr(hierarchy, "CHUNK", chunk)
-    monkeypatch.setattr(hierarchy, "MAX_HOPS", hops)
-    pairs = graph(chunk)
-    links = spark.createDataFrame([("g", p, c) for p, c in pairs], "hierarchy string, parent string, child string").distinct()
-    stash = Stash(spark)
-    loops = {(r.node, "CYCLE", -1) for r in hierarchy.cycle_nodes(links, stash, local_links=local).collect()}
+def as_links(spark, pairs):
+    return spark.createDataFrame([("g", p, c) for p, c in pairs], "hierarchy string, parent string, child string").distinct()
+
+
+@pytest.mark.parametrize("seed", [0, 7, 4096])
+def test_roots_depths_and_loops(spark, monkeypatch, seed):
+    monkeypatch.setattr(hierarchy, "CHUNK", 7)
+    pairs = graph(seed)
     expected = brute_hierarchy(pairs)
-    assert loops == {x for x in expected if x[1] == "CYCLE"}
-    if local:
-        rows = [(r.node, r.root, r.depth) for r in hierarchy.hierarchy_report(links).collect()]
-        assert len(rows) == len(set(rows)) and set(rows) == expected
+    rows = [(r.node, r.root, r.depth) for r in hierarchy.hierarchy_report(as_links(spark, pairs)).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == expected
+
+
+LOOPS = {
+    "bare loop with a tail": [("a", "b"), ("b", "c"), ("c", "a"), ("c", "t0"), *((f"t{i}", f"t{i + 1}") for i in range(9))],
+    "loop through one joint": [("r", "j"), ("j", "x"), ("x", "y"), ("y", "z"), ("z", "j"), ("y", "w"), ("x", "v")],
+    "two joints, chains between": [("r", "j"), ("j", "x"), ("x", "k"), ("q", "k"), ("k", "y"), ("y", "z"), ("z", "j"), ("z", "end")],
+    "joint below a loop": [("a", "b"), ("b", "a"), ("b", "m"), ("r", "m"), ("m", "n")],
+    "loops in a row": [("r", "a"), ("a", "b"), ("b", "a"), ("b", "m"), ("m", "c"), ("c", "d"), ("d", "c"), ("d", "e")],
+    "long and short way": [("r", "a"), ("a", "b"), ("b", "c"), ("c", "j"), ("r", "j"), ("j", "k"), ("c", "k"), ("k", "l")],
+    "chain": [(f"n{i}", f"n{i + 1}") for i in range(70)],
+    "giant loop": [(f"n{i}", f"n{(i + 1) % 60}") for i in range(60)] + [("n3", "n40"), ("n50", "n9"), ("in", "n5"), ("n7", "out")],
+}
+
+
+@pytest.mark.parametrize(("name", "sent"), [*((n, 100_000) for n in LOOPS), ("bare loop with a tail", 0), ("chain", 0)])
+def test_loops_of_every_kind(spark, monkeypatch, name, sent):
+    monkeypatch.setattr(hierarchy, "SENT_ROWS", sent)
+    rows = [(r.node, r.root, r.depth) for r in hierarchy.hierarchy_report(as_links(spark, LOOPS[name])).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == brute_hierarchy(LOOPS[name])
+
+
+def test_predecessors_spell_all_shortest_paths(spark):
+    pairs = [("r", f"a{i}") for i in range(3)] + [(f"a{i}", f"b{j}") for i in range(3) for j in range(3)]
+    pairs += [(f"b{j}", "c") for j in range(3)] + [("r", "x"), ("x", "y"), ("y", "c"), ("c", "d"), ("d", "a0"), ("s", "b1"), ("c", "e")]
+    rows = hierarchy.predecessors(as_links(spark, pairs)).collect()
+    below = {}
+    for p, c in set(pairs):
+        below.setdefault(p, set()).add(c)
+    expected = {}
+    for root in ("r", "s"):
+        front, seen = {(root,)}, {root}
+        while front:
+            longer = {(*path, c) for path in front for c in below.get(path[-1], ()) if c not in seen}
+            for path in longer:
+                key = (root, path[-1], len(path) - 1, path[-2])
+                expected[key] = expected.get(key, 0) + 1
+            seen |= {path[-1] for path in longer}
+            front = longer
+    assert {(r.root, r.node, r.depth, r.parent): int(r.n_paths) for r in rows} == expected
 
 
 def test_paths_and_descendants(spark):
