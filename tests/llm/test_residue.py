@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyforge.llm import residue
@@ -25,7 +26,7 @@ def corpus():
     bad += [f"Please enable JavaScript to display volume {i}." for i in range(6)] + ["Return to the start page."]
     for mark in ("{{name}}", "[insert date here]", "%(date)s", "${vote.count}", "<<MEMBER>>", "XXXXXX", "[date TBC]"):
         bad += [speech(rng, 3) + f" What did {mark} say to the council? " + speech(rng, 3) for _ in range(2)]
-    bad += [speech(rng, 2) + " What did {date} say to the council?", "speech text " * 30, "Traceback (most recent call last):\n  File \"a.py\", line 3, in run"]
+    bad += [speech(rng, 2) + " What did {date} say to the council?", "speech text " * 30, "qwerty " * 20, "asdf " * 15, "Traceback (most recent call last):\n  File \"a.py\", line 3, in run"]
     return good, bad
 
 
@@ -40,26 +41,81 @@ def test_separates(spark, corpus):
     assert residue.find_residue(frame.filter("doc_id < 50")).count() == 0
 
 
-def test_sample_is_bounded(spark, corpus, monkeypatch):
-    monkeypatch.setattr(residue, "UNLABELLED_PASSAGES", 200)
-    monkeypatch.setattr(residue, "TRUSTED_PASSAGES", 10)
-    seen = []
-    monkeypatch.setattr(residue, "fit", lambda rows: seen.extend(rows) or np.zeros(residue.SPACE + 1, np.float32))
-    good, bad = corpus
-    frame = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad)], "doc_id long, text string")
-    residue.learn(frame)
-    assert sum(s for s, _ in seen) == 10 and 50 < len(seen) <= 210
+def units_of(texts):
+    u = residue.read_units(pa.array(texts, pa.string()))
+    return u.owner, u.mark, u.trusted, u.lengths, u.tokens
+
+
+def fitted(texts):
+    owner, mark, trusted, lengths, tokens = units_of(texts)
+    kind = np.where(trusted, 2, np.isin(owner, owner[trusted]).astype(int))
+    return residue.fit(kind, mark, lengths, tokens, np.ones(len(kind)))
 
 
-def test_long_texts_are_read_to_the_end():
-    odds = np.zeros(residue.SPACE + 1, np.float32)
-    odds[residue._HASH["S:braces"]] = 5
-    text = "many words without an end " * 40_000
-    assert not residue.found_in(text, odds)
-    assert residue.found_in(text + "{{name}}", odds)
-    assert residue.found_in(("x" * 100_000) + " {{name}} " + "[" * 5000, odds)
+def best(texts, odds):
+    """Per text the score of the unit that is most likely residue."""
+    owner, mark, _, lengths, tokens = units_of(texts)
+    found = np.full(len(texts), -np.inf)
+    np.maximum.at(found, owner, residue.scores(odds, mark, lengths, tokens))
+    return found
 
 
-def test_invisible_characters_do_not_hide():
-    assert [p for p in residue.passages("Lorem ip​sum.  Dolor sit\xa0amet")] == ["Lorem ipsum.", "Dolor", "sit amet"]
-    assert list(residue.passages("\n \n")) == []
+def test_sample_is_bounded(spark, corpus, monkeypatch):
+    for name, n in (("OTHER_UNITS", 200), ("NEAR_UNITS", 15), ("TRUSTED_UNITS", 10)):
+        monkeypatch.setattr(residue, name, n)
+    seen = []
+    monkeypatch.setattr(residue, "fit", lambda kind, *rest: seen.append((kind, rest[-1])) or np.zeros(residue.SPACE + 2, np.float32))
+    good, bad = corpus
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad)], "doc_id long, text string")
+    residue.find_residue(frame).count()
+    kind, size = seen[0]
+    assert (kind == 2).sum() == 10 and (kind == 1).sum() <= 15 and 50 < (kind == 0).sum() <= 200
+    owner, _, trusted, *_ = units_of(good + bad)
+    assert size.sum() == pytest.approx(len(owner)) and size[kind == 2].sum() == pytest.approx(trusted.sum())
+
+
+def test_signs_are_labels_only(monkeypatch):
+    """Once fitted, nothing matches a sign any more; and a kind of sign that is held out is found by what it shares with others."""
+    rng = random.Random(8)
+    good = [speech(rng) + f" [Laughter] See [column {i}]." for i in range(300)]
+    names = ["member name", "date", "vote count", "party"]
+    kinds = ["{{%s}}", "${%s}", "[insert %s]", "<%s to be added>", "[%s TBC]", "&lt;%s&gt;"]
+    bad = [f"{speech(rng, 2)} What did {k % rng.choice(names)} say to {k % rng.choice(names)}? {speech(rng, 2)}" for k in kinds * 8]
+    odds = fitted(good + bad)
+    monkeypatch.setattr(residue, "SIGNS", dict.fromkeys(residue.SIGNS, "(?i)\\x00"))
+    after = best(good + bad, odds) > residue.LEAST_ODDS
+    assert not after[: len(good)].any() and after[len(good) :].mean() > 0.9
+
+
+def test_long_texts_and_slots_are_read_to_the_end(corpus):
+    good, bad = corpus
+    odds = fitted(good + bad)
+    text = "the council must review its budget " * 40_000
+    assert (best([text, text + "{{name}}", text + "[" * 5000 + " {{name}}"], odds) > 0).tolist() == [False, True, True]
+    slots = ["{{" + "name " * 40 + "}}", "${" + "name." * 20 + "name}", "{{\nname\n}}", "{{ name. Name }}"]
+    assert all(residue.MARK.fullmatch(s) for s in slots)
+    assert (best([f"What did {s} say to the council?" for s in slots], odds) > 0).all()
+    u = residue.read_units(pa.array([f"a b c {s} d" for s in slots], pa.string()))
+    assert u.trusted[u.mark].tolist() == [True] * 4
+
+
+def test_reading():
+    u = residue.read_units(pa.array(["Lorem ip\u200bsum.  Dolor sit\xa0amet", "\n \n", "cafe\u0301 noir", "12 %", "x" * 100_000, "he said “null and void” twice"], pa.string()))
+    assert u.owner.tolist() == [0, 0, 2, 4, 5] and u.lengths.tolist() == [3, 3, 2, 1, 4]
+    assert u.trusted.tolist() == [True, False, False, False, False]
+    same = residue.read_units(pa.array(["caf\xe9 noir"], pa.string()))
+    assert same.tokens.tolist() == u.tokens[6:8].tolist()
+    none = residue.read_units(pa.array([], pa.string()))
+    assert len(none.owner) == len(none.tokens) == 0
+
+
+def test_units_of_a_batch_do_not_depend_on_each_other(corpus):
+    good, bad = corpus
+    texts = good[:20] + bad + good[20:40]
+    owner, mark, trusted, lengths, tokens = units_of(texts)
+    ends = np.cumsum(lengths)
+    for i, text in enumerate(texts):
+        _, m, t, n, own = units_of([text])
+        mine = owner == i
+        assert (m == mark[mine]).all() and (t == trusted[mine]).all() and (n == lengths[mine]).all()
+        assert own.tolist() == [x for e, k in zip(ends[mine], lengths[mine]) for x in tokens[e - k : e].tolist()]
