@@ -362,7 +362,10 @@ def _loop_chains(ways: DataFrame, groups: DataFrame, chains: DataFrame, single:
     pointers, m = stash.put(ups.join(near.withColumnRenamed("node", "up").hint("merge"), ["hierarchy", "up"], "left_semi").select("hierarchy", "node", "up"))
     while m:
         climbed = marked.join(pointers.hint("merge"), ["hierarchy", "node"]).select("hierarchy", F.col("up").alias("node"))
-        marked, _ = stash.put(marked.unionByName(climbed).distinct())
+        marked, k = stash.put(marked.unionByName(climbed).distinct())
+        if k == n:  # closed under this jump and all shorter ones: complete
+            break
+        n = k
         far = pointers.select("hierarchy", F.col("node").alias("up"), F.col("up").alias("next"))
         pointers, m = stash.put(pointers.join(far.hint("merge"), ["hierarchy", "up"]).select("hierarchy", "node", F.col("next").alias("up")))
     return marked

@@ -2,8 +2,8 @@
 
 Both work by refining histograms with mergeable counts: every pass combines counts in the map
 tasks, so a key's rows are never gathered. Heavy keys refine a histogram over the hash of the
-key; quantiles of heavy keys refine a histogram over the value until each rank's bin holds
-one value. Other keys hold at most ``share`` of the rows each and are ranked by a sort.
+key; quantiles refine a histogram over the value until each rank's bin holds one value. Only keys with a
+bounded number of distinct values are ranked by a sort of these.
 
 A null key is no value and never heavy, though its rows count in the total. Quantiles leave out
 null, NaN and infinite values. Empty tables give no rows; ties and repeated rows count.
@@ -11,19 +11,23 @@ null, NaN and infinite values. Empty tables give no rows; ties and repeated rows
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import Stash, join_spread
+
 #: Hash bits refined per pass.
 BITS = 12
 #: Bins per interval and pass when values are refined.
 BINS = 64
-#: Rows a key may hold before its quantiles go by histogram, as a share of all rows.
-HOT_SHARE = Fraction(1, 1000)
+#: Distinct values up to which a key's quantiles go by a sort.
+SORTED_VALUES = 20_000
+#: Tasks over which the values of one key are spread.
+SPREAD = 16
 
 
 def _long_form(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -91,75 +95,75 @@ def heavy_keys(rows: DataFrame, fields: Sequence[str], share: Fraction) -> DataF
 
 
 def _rank(probability: float, n):
-    """0-based rank of the lower quantile: ceil(p n) - 1, at least 0."""
-    return F.greatest(F.ceil(F.lit(float(probability)) * n) - 1, F.lit(0)).cast("bigint")
+    """1-based rank of the lower quantile: ceil(p n), at least 1."""
+    return F.greatest(F.ceil(F.lit(float(probability)) * n), F.lit(1)).cast("bigint")
 
 
-def _cold(values: DataFrame, probabilities: Sequence[float]) -> DataFrame:
-    """Quantiles by value counts in order, per key."""
-    counts = values.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
+def _sorted_keys(counts: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """``k, i, v`` by value counts in order, per key; a window partition has at most ``SORTED_VALUES`` rows."""
     order = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("k")
-    ranked = counts.select("k", "v", "c", F.sum("c").over(order).alias("upto"), F.sum("c").over(whole).alias("n"))
-    hit = [
-        F.max(F.when((_rank(p, F.col("n")) < F.col("upto")) & (_rank(p, F.col("n")) >= F.col("upto") - F.col("c")), F.col("v"))).alias(
-            f"q{i}"
-        )
-        for i, p in enumerate(probabilities)
-    ]
-    return ranked.groupBy("k").agg(*hit)
-
-
-def _hot(values: DataFrame, probabilities: Sequence[float]) -> DataFrame:
-    """Quantiles of the (at most ``1/HOT_SHARE``) heavy keys by refining value histograms."""
-    spark = values.sparkSession
-    first = values.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
-    done: dict[tuple[str, int], float] = {}
-    todo: dict[tuple[str, int], tuple[float, float, int]] = {}
-    for r in first:
-        for i, p in enumerate(probabilities):
-            todo[r["k"], i] = (r["lo"], r["hi"], max(0, math.ceil(p * r["n"]) - 1))
-    while True:
-        done |= {key: lo for key, (lo, hi, _) in todo.items() if lo == hi}
-        todo = {key: x for key, x in todo.items() if x[0] < x[1]}
-        if not todo:
-            break
-        wanted = spark.createDataFrame(
-            [(k, i, lo, hi, rank) for (k, i), (lo, hi, rank) in todo.items()], "k string, i int, lo double, hi double, rank bigint"
-        )
+    ranked = counts.select("k", "v", "c", "n", F.sum("c").over(order).alias("upto"))
+    asked = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _rank(p, F.col("n")).alias("rank")) for i, p in enumerate(probabilities)]))
+    each = ranked.select("k", "v", "c", "upto", asked.alias("q")).filter("q.rank <= upto and q.rank > upto - c")
+    return each.select("k", "q.i", "v")
+
+
+def _refined_keys(counts: DataFrame, probabilities: Sequence[float], stash: Stash) -> DataFrame:
+    """``k, i, v`` by refining value histograms: every pass counts bins of each open interval and keeps the bin of the rank.
+
+    Intervals are between values that occur; a pass cuts each into ``BINS`` bins, counted with a map-side combine, so at
+    most ``BINS`` rows per key and quantile meet in one task, however many values a key has. Intervals
+    and counts meet by key and a hash of the value, so a key's counts are spread over ``SPREAD`` tasks.
+    """
+    ends = counts.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("n").alias("n"))
+    asked = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _rank(p, F.col("n")).alias("rank")) for i, p in enumerate(probabilities)]))
+    todo, left = stash.put(ends.select("k", "lo", "hi", asked.alias("q")).select("k", "q.i", "q.rank", "lo", "hi"))
+    salted = counts.select("k", F.pmod(F.xxhash64("v"), F.lit(SPREAD)).alias("s"), "v", "c")
+    done = []
+    while left:
+        done.append(todo.filter("lo = hi").select("k", "i", F.col("lo").alias("v")))
+        open_ = todo.filter("lo < hi").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
         scale = F.when(F.greatest(F.abs("lo"), F.abs("hi")) > 1e300, 0.25).otherwise(1.0)
         place = (F.col("v") * scale - F.col("lo") * scale) / (F.col("hi") * scale - F.col("lo") * scale)
         bins = (
-            values.join(F.broadcast(wanted), "k")  # at most keys x probabilities rows
+            salted.join(open_, ["k", "s"])
             .filter("v between lo and hi")
             .withColumn("b", F.least(F.floor(place * BINS), F.lit(BINS - 1)))
-            .groupBy("k", "i", "b")
-            .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.first("rank").alias("rank"))
+            .groupBy("k", "i", "rank", "b")
+            .agg(F.sum("c").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         )
         order = Window.partitionBy("k", "i").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-        hit = bins.withColumn("upto", F.sum("c").over(order)).filter("rank < upto and rank >= upto - c")
-        for r in hit.collect():
-            todo[r["k"], r["i"]] = (r["lo"], r["hi"], r["rank"] - (r["upto"] - r["c"]))
-    rows = [(r["k"], *[done[r["k"], i] for i in range(len(probabilities))]) for r in first]
-    return spark.createDataFrame(rows, "k string, " + ", ".join(f"q{i} double" for i in range(len(probabilities))))
+        hit = bins.withColumn("upto", F.sum("c").over(order)).filter("rank <= upto and rank > upto - c")
+        todo, left = stash.put(hit.select("k", "i", (F.col("rank") - (F.col("upto") - F.col("c"))).alias("rank"), "lo", "hi"))
+    return reduce(lambda a, b: a.unionByName(b), done)
 
 
 def key_quantiles(rows: DataFrame, field: str, value: str, probabilities: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """``key_field, key_value, n_rows, n_values, q<percent>...`` for every key of a field.
 
-    Lower quantiles: the value at rank ``ceil(p n)``. Keys with ``HOT_SHARE`` of all rows or
-    more take the histogram way, at most ``1/HOT_SHARE`` of them.
+    Lower quantiles: the value at rank ``ceil(p n)``. Rows are read once and combined to counts per key and value.
+    Keys of more than ``SORTED_VALUES`` distinct values go by refined histograms, the others by a
+    sort within the key; the results are the same, and no task ever sorts more values of a key than that.
     """
+    stash = Stash(rows.sparkSession)
     keyed = rows.filter(F.col(field).isNotNull()).select(F.col(field).cast("string").alias("k"), F.col(value).cast("double").alias("v"))
-    finite = keyed.filter("v is not null and not isnan(v) and abs(v) < double('infinity')")
-    hot = [r["key_value"] for r in heavy_keys(rows, [field], HOT_SHARE).collect()]
-    is_hot = F.col("k").isin(hot)
-    quantiles = _cold(finite.filter(~is_hot), probabilities)
-    if hot:
-        quantiles = quantiles.unionByName(_hot(finite.filter(is_hot), probabilities))
     real = F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < F.lit(float("inf")))
-    sizes = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(real).alias("n_values"))
-    names = [F.col(f"q{i}").alias(f"q{round(p * 100):02d}") for i, p in enumerate(probabilities)]
-    return sizes.join(quantiles, "k", "left").select(
-        F.lit(field).alias("key_field"), F.col("k").alias("key_value"), "n_rows", "n_values", *names
+    clean = keyed.select("k", F.when(real, F.when(F.col("v") == 0, F.lit(0.0)).otherwise(F.col("v"))).alias("v"))
+    counts, _ = stash.put(clean.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c")))
+    some = F.col("v").isNotNull()
+    sizes, _ = stash.put(
+        counts.groupBy("k").agg(
+            F.sum("c").alias("n_rows"), F.coalesce(F.sum(F.when(some, F.col("c"))), F.lit(0)).alias("n"), F.count("v").alias("values")
+        )
+    )
+    large = sizes.filter(F.col("values") > SORTED_VALUES).select("k", "n")
+    some_counts = counts.filter(some)
+    small = some_counts.join(sizes.filter(F.col("values") <= SORTED_VALUES).select("k", "n"), "k")
+    found = _sorted_keys(small, probabilities)
+    if not large.isEmpty():
+        hot, _ = stash.put(join_spread(some_counts, large, "k", "inner", ["v"]))
+        found = found.unionByName(_refined_keys(hot, probabilities, stash))
+    wide = found.groupBy("k").agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"q{round(p * 100):02d}") for i, p in enumerate(probabilities)])
+    return sizes.join(wide, "k", "left").select(
+        F.lit(field).alias("key_field"), F.col("k").alias("key_value"), "n_rows", F.col("n").alias("n_values"), *wide.columns[1:]
     )

@@ -189,7 +189,7 @@ def test_heavy_keys_and_quantiles(spark, monkeypatch):
     heavy = {(r.key_field, r.key_value, r.n_rows) for r in skew.heavy_keys(frame, ["key", "n"], share).collect()}
     expected = {("key", k, n) for k, n in counts.items() if k is not None and n * 100 >= len(rows)}
     assert heavy == expected | {("n", "1", len(rows))}
-    monkeypatch.setattr(skew, "HOT_SHARE", Fraction(1, 60))
+    monkeypatch.setattr(skew, "SORTED_VALUES", 5)  # most keys by histogram
     monkeypatch.setattr(skew, "BINS", 4)
     found = {r.key_value: (r.n_rows, r.n_values, r.q25, r.q50, r.q75) for r in skew.key_quantiles(frame, "key", "v").collect()}
     assert set(found) == {k for k in counts if k is not None}
