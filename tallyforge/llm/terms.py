@@ -19,13 +19,21 @@ MASK_BELOW, RARE_ROW = 5, "__RARE__"
 _SEP = "\x1f"
 
 
-def code_frequencies(events: DataFrame, stash: Stash) -> DataFrame:
+def subject_cells(events: DataFrame, stash: Stash) -> DataFrame:
+    """``code, subject_id, shard, n``: events combined per cell, written once for all that is counted from them.
+
+    Null codes are kept, as their subjects count in the total.
+    """
+    return stash.put(events.groupBy("code", "subject_id", "shard").agg(F.count(F.lit(1)).alias("n")))[0]
+
+
+def code_frequencies(all_cells: DataFrame, stash: Stash) -> DataFrame:
     """``scope, code, n_events, n_subjects``; scope ``''`` is all events, else ``s`` and the shard (``s`` alone: null).
 
-    Events are combined per (code, subject, shard) and then per (code, subject), each time
-    before the shuffle, so every subject meets the tries once per scope.
+    Cells are per (code, subject, shard) and combined once more per (code, subject), so every subject
+    meets the tries once per scope.
     """
-    cells = events.filter("code is not null").groupBy("code", "subject_id", "shard").agg(F.count(F.lit(1)).alias("n"))
+    cells = all_cells.filter("code is not null")
     pairs = cells.groupBy("code", "subject_id").agg(F.sum("n").alias("n"))
     record = F.col("subject_id").isNotNull().cast("bigint").alias("records")
     scope = F.concat(F.lit("s"), F.coalesce(F.col("shard").cast("string"), F.lit("")), F.lit(_SEP))
@@ -41,19 +49,21 @@ def code_frequencies(events: DataFrame, stash: Stash) -> DataFrame:
     )
 
 
-def _with_total(events: DataFrame) -> int:
-    return events.select("subject_id").filter("subject_id is not null").distinct().count()
+def _total(cells: DataFrame) -> int:
+    return cells.select("subject_id").filter("subject_id is not null").distinct().count()
 
 
 def marked_terms(events: DataFrame) -> DataFrame:
     """``code, n_events, n_subjects, is_rare, is_common`` of every distinct code."""
-    found = code_frequencies(events, Stash(events.sparkSession)).filter("scope = ''").drop("scope")
+    stash = Stash(events.sparkSession)
+    cells = subject_cells(events, stash)
+    found = code_frequencies(cells, stash).filter("scope = ''").drop("scope")
     return found.select(
         "code",
         "n_events",
         "n_subjects",
         (F.col("n_subjects") < RARE_BELOW).alias("is_rare"),
-        (F.col("n_subjects") * COMMON_SHARE >= _with_total(events)).alias("is_common"),
+        (F.col("n_subjects") * COMMON_SHARE >= _total(cells)).alias("is_common"),
     )
 
 
@@ -64,10 +74,11 @@ def marks(events: DataFrame, summary: DataFrame) -> DataFrame:
     the rare bucket and rows without a code are not judged.
     """
     stash = Stash(events.sparkSession)
-    found, _ = stash.put(code_frequencies(events, stash))
+    cells = subject_cells(events, stash)
+    found, _ = stash.put(code_frequencies(cells, stash))
     whole = found.filter("scope = ''")
     rare = whole.filter(F.col("n_subjects") < RARE_BELOW).select("code", F.lit("rare").alias("mark"))
-    common = whole.filter(F.col("n_subjects") * COMMON_SHARE >= _with_total(events)).select("code", F.lit("common").alias("mark"))
+    common = whole.filter(F.col("n_subjects") * COMMON_SHARE >= _total(cells)).select("code", F.lit("common").alias("mark"))
     judged = summary.filter((F.col("code") != RARE_ROW) & F.col("code").isNotNull()).select(
         F.concat(F.lit("s"), F.coalesce(F.col("shard").cast("string"), F.lit(""))).alias("scope"),
         "code", "event_count", "subject_count", "is_masked",
