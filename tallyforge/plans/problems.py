@@ -11,6 +11,8 @@ from ..functions import is_blank
 from ..operators import features, hierarchy, orphans, skew, unpack
 from ..runtime import Stash, table
 
+#: Number of feature types in the driver's tables.
+FEATURES = 300
 #: Share of all rows from which a key counts as hot in p4_found.
 HEAVY_SHARE = Fraction(1, 100)
 
@@ -29,6 +31,11 @@ def p1_paths(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("hierarchy", "node", "root", "depth", F.array_join("path", " > ").alias("path"))
 
 
+def p1_links(spark: SparkSession, folder: str) -> DataFrame:
+    found = hierarchy.predecessors(_links(spark, folder))
+    return found.withColumn("n_paths", F.col("n_paths").cast("double"))
+
+
 def p1_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy.descendants(_links(spark, folder))
 
@@ -92,9 +99,48 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_paths, p1_descendants, p3_found, p3_windows, p3_table, p4_found, p4_quantiles, p5_found, p5_counts, p7_found)
+    for f in (p1_found, p1_paths, p1_links, p1_descendants, p3_found, p3_windows, p3_table, p4_found, p4_quantiles, p5_found, p5_counts, p7_found)
 }
 
+_LINKS = """WITH RECURSIVE links AS (
+  SELECT DISTINCT 'concept' AS hierarchy, CAST(ancestor_concept_id AS VARCHAR) AS parent, CAST(descendant_concept_id AS VARCHAR) AS child
+  FROM concept_ancestor WHERE min_levels_of_separation = 1 AND ancestor_concept_id <> descendant_concept_id
+  UNION
+  SELECT DISTINCT 'code', p, code FROM (
+    SELECT code, CASE WHEN length(e) - length(replace(e, '/', '')) = 1 THEN replace(e, '/', '//') ELSE e END AS p
+    FROM (SELECT code, unnest(parent_codes) AS e FROM codes)) WHERE p <> code AND p IN (SELECT code FROM codes)
+), roots AS (
+  SELECT DISTINCT hierarchy, parent AS root FROM links l
+  WHERE NOT EXISTS (SELECT 1 FROM links u WHERE u.hierarchy = l.hierarchy AND u.child = l.parent)
+), tops AS (SELECT DISTINCT hierarchy, parent AS root FROM links)"""
+
+
+def _down(sources: str, first: str = "", more: str = "", column: str = "") -> str:
+    """Level by level from each source, every node once, with the fewest links."""
+    return f"""down(hierarchy, node, root, depth{column}) USING KEY (hierarchy, node, root) AS (
+  SELECT hierarchy, root, root, CAST(0 AS BIGINT){first} FROM {sources}
+  UNION
+  SELECT d.hierarchy, l.child, d.root, min(d.depth) + 1{more} FROM down d JOIN links l ON l.hierarchy = d.hierarchy AND l.parent = d.node
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.down k WHERE k.hierarchy = d.hierarchy AND k.node = l.child AND k.root = d.root)
+  GROUP BY d.hierarchy, l.child, d.root)"""
+
+
+_REACH = """reach(hierarchy, node, top) AS (
+  SELECT hierarchy, child, parent FROM links
+  UNION
+  SELECT r.hierarchy, l.child, r.top FROM reach r JOIN links l ON l.hierarchy = r.hierarchy AND l.parent = r.node)"""
+_WAYS = """ways(hierarchy, node, root, depth, n) AS (
+  SELECT hierarchy, node, root, depth, CAST(1 AS DOUBLE) FROM down WHERE depth = 0
+  UNION ALL
+  SELECT w.hierarchy, l.child, w.root, w.depth + 1, sum(w.n) FROM ways w JOIN links l ON l.hierarchy = w.hierarchy AND l.parent = w.node
+  JOIN down d ON d.hierarchy = w.hierarchy AND d.node = l.child AND d.root = w.root AND d.depth = w.depth + 1
+  GROUP BY w.hierarchy, l.child, w.root, w.depth)"""
+_FEATURES = ",\n".join(
+    f"""count(*) FILTER (WHERE no = {i}) AS n_events_{i},
+CAST(floor(epoch(index_time - max(t) FILTER (WHERE no = {i})) / 86400) AS BIGINT) AS days_since_last_{i},
+CAST(coalesce(sum(cents) FILTER (WHERE no = {i}), 0) AS BIGINT) AS total_cents_{i}"""
+    for i in range(1, FEATURES + 1)
+)
 _ONCE = """
 WITH ev AS (
   SELECT event_id, any_value(subject_id) AS subject_id, any_value(code) AS code, any_value("time") AS t,
@@ -152,6 +198,21 @@ GROUP BY {field} HAVING count(*) * 100 >= (SELECT count(*) FROM med_events)"""
 
 
 ORACLE = {
+    "p1_found": f"""{_LINKS}, {_down("roots")}, {_REACH}
+SELECT hierarchy, node, root, depth FROM down UNION ALL SELECT hierarchy, node, 'CYCLE', -1 FROM reach WHERE node = top""",
+    "p1_paths": f"""{_LINKS}, {_down("roots", ", [root]", ", min(list_append(d.path, l.child))", ", path")}
+SELECT hierarchy, node, root, depth, array_to_string(path, ' > ') AS path FROM down""",
+    "p1_links": f"""{_LINKS}, {_down("roots")}, {_WAYS}
+SELECT c.hierarchy, c.root, c.node, c.depth, l.parent, w.n AS n_paths FROM down c JOIN links l ON l.hierarchy = c.hierarchy AND l.child = c.node
+JOIN ways w ON w.hierarchy = c.hierarchy AND w.node = l.parent AND w.root = c.root AND w.depth + 1 = c.depth""",
+    "p1_descendants": f"""{_LINKS}, {_down("tops")}
+SELECT hierarchy, root AS ancestor, node AS descendant, depth AS min_levels FROM down WHERE depth > 0""",
+    "p3_table": _ONCE + f""", found AS (
+  SELECT p.subject_id, p.index_time, f.feature_no AS no, ev.t, ev.cents FROM points p
+  LEFT JOIN (ev JOIN feature_codes f USING (code)) ON ev.subject_id = p.subject_id AND ev.t < p.index_time)
+SELECT subject_id, index_time,
+{_FEATURES}
+FROM found GROUP BY subject_id, index_time""",
     "p3_found": _ONCE + """
 SELECT p.subject_id, ev.code, count(*) AS n_events,
        CAST(floor(epoch(p.index_time - max(ev.t)) / 86400) AS BIGINT) AS days_since_last,
