@@ -138,5 +138,5 @@ def enrich_metadata(frame: DataFrame, config: EnrichmentConfig) -> DataFrame:
         ancestors = scan_athena(folder / "CONCEPT_ANCESTOR.csv", CONCEPT_ANCESTOR, frame.sparkSession) if lists else None
     else:
         candidates = V.code_candidates(_open(frame))
-        concepts, ancestors = fetch(candidates, config.postgres, config.sibling_codes, frame.sparkSession)
+        concepts, ancestors = fetch(candidates, config, frame.sparkSession)
     return enrich_with(frame, concepts, ancestors, config)

@@ -10,6 +10,7 @@ from contextlib import contextmanager
 from pathlib import Path
 from uuid import uuid4
 
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,37 +107,55 @@ def _write_part(frame: DataFrame, kind: str, folder: Path) -> None:
         writer.option("ignoreNullFields", False).json(str(folder))
 
 
+def _join_parts(parts: list[Path], kind: str, path: Path) -> None:
+    """Stream the parts, in order, into one file; a row group or a line is in memory at a time."""
+    if kind == "parquet":
+        with pq.ParquetWriter(path, pq.read_schema(parts[0])) as target:
+            for part in parts:
+                for batch in pq.ParquetFile(part).iter_batches():
+                    target.write_batch(batch)
+        return
+    with path.open("wb") as target:
+        before = b"["
+        for i, part in enumerate(parts):
+            with part.open("rb") as lines:
+                if kind == "csv" and i:  # the header of the first part is enough
+                    lines.readline()
+                if kind != "json":
+                    shutil.copyfileobj(lines, target)
+                    continue
+                for line in filter(None, map(bytes.strip, lines)):
+                    target.write(before + line)
+                    before = b",\n"
+        if kind == "json":
+            target.write((b"[" if before == b"[" else b"") + b"]\n")
+
+
 def sink_table(
     frame: DataFrame, path: str | Path, format_: str | None = None, order: Sequence[str] = (), hidden: Sequence[str] = ()
 ) -> None:
     """Write one file, rows ascending by ``order`` (nulls first), without the ``hidden`` columns.
 
-    The catalog is an aggregate, far smaller than its input, and the contract is one file: so
-    one task sorts (spilling if need be) and writes it. Larger results belong into
-    ``frame.write`` and a folder. Driver and executors must share the path's file system.
+    Tasks sort and write ranges side by side; as the contract is one file, the driver then streams them into it
+    (a single range is only moved). Driver and executors must share the path's file system.
     """
     path = Path(path)
     kind = format_ or output_format(path)
     folder = path.with_name(f"{path.name}.{uuid4().hex}.parts")
-    single = frame.repartition(1)
     if order:
-        single = single.sortWithinPartitions(*[F.col(f"`{c}`").asc() for c in order])
-    single = single.drop(*hidden)
+        frame = frame.orderBy(*[F.col(f"`{c}`").asc() for c in order])
+    frame = frame.drop(*hidden)
     if kind == "csv":
-        single = flatten_nested(single)
+        frame = flatten_nested(frame)
+        if any("\n" in c or "\r" in c for c in frame.columns):
+            raise ValueError("CSV column names must not contain line breaks")
     try:
-        _write_part(single, kind, folder)
-        part = next(p for p in sorted(folder.iterdir()) if p.name.startswith("part-"))
-        if kind == "json":
-            with part.open("rb") as lines, path.open("wb") as target:
-                before = b"["
-                for line in lines:
-                    if line.strip():
-                        target.write(before + line.strip())
-                        before = b",\n"
-                target.write((b"[" if before == b"[" else b"") + b"]\n")
+        _write_part(frame, kind, folder)
+        parts = [p for p in sorted(folder.iterdir()) if p.name.startswith("part-")]
+        if len(parts) == 1 and kind != "json":
+            shutil.move(parts[0], path)
         else:
-            shutil.move(part, path)
+            _join_parts(parts, kind, path)
     finally:
         shutil.rmtree(folder, ignore_errors=True)
 

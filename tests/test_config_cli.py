@@ -1,7 +1,7 @@
 import pytest
 
 from tallyforge import EnrichmentConfig, SummaryConfig
-from tallyforge.cli import build_parser, main, resolve_enrichment
+from tallyforge.cli import catalog_parser, main, vocabulary_of
 
 
 def test_yaml_and_overrides(tmp_path):
@@ -60,11 +60,11 @@ def test_bad_enrichment(bad):
 
 
 def test_source_on_the_command_line_replaces(tmp_path):
-    args = build_parser().parse_args(["d", "-o", "x.csv", "--athena-csv", "v", "--child-codes"])
-    made = resolve_enrichment(args, EnrichmentConfig(postgres="p", child_depth=9))
+    args = catalog_parser().parse_args(["d", "-o", "x.csv", "--athena-csv", "v", "--child-codes"])
+    made = vocabulary_of(args, EnrichmentConfig(postgres="p", child_depth=9))
     assert made == EnrichmentConfig(csv_dir="v", child_codes=True)
     with pytest.raises(ValueError, match="require an Athena"):
-        resolve_enrichment(build_parser().parse_args(["d", "-o", "x.csv", "--no-parent-codes"]))
+        vocabulary_of(catalog_parser().parse_args(["d", "-o", "x.csv", "--no-parent-codes"]))
 
 
 def test_command(spark, dataset, tmp_path, capsys):

@@ -115,3 +115,62 @@ def test_cells_of_assigned_splits_equal_brute_force(spark):
             missing[c] += split is None
     expected = {c: (n[c], len(subjects[c]), train[c], missing[c]) for c in n}
     assert {r["code"]: (r["event_count"], r["subject_count"], r["event_count_train"], r["_missing_split_count"]) for r in found.collect()} == expected
+
+
+def test_descriptor_fields_are_checked(tmp_path):
+    from tallyforge.sources import meds
+
+    for folder in ("data", "metadata"):
+        (tmp_path / folder).mkdir()
+    path = tmp_path / "metadata" / "dataset.json"
+    path.write_text('{"dataset_name": "x", "created_at": "2024-01-02T03:04:05", "site_id_columns": ["a"], "other": 1, "license": null}')
+    assert meds.read_dataset_metadata(tmp_path)["other"] == 1
+    for text, said in (("[]", "object"), ('{"dataset_name": 3}', "dataset_name must be a string"), ('{"created_at": "soon"}', "ISO 8601"),
+                       ('{"site_id_columns": ["a", 1]}', "list of strings")):
+        path.write_text(text)
+        with pytest.raises(ValueError, match=said):
+            meds.read_dataset_metadata(tmp_path)
+    for bad, said in ((["a", "a"], "duplicates"), (["code"], "core"), (["", "a"], "non-empty"), ("a", "list")):
+        with pytest.raises(ValueError, match=said):
+            meds.code_modifier_columns({"code_modifier_columns": bad})
+    assert meds.code_modifier_columns({"code_modifier_columns": ["b", "a"]}) == ["b", "a"]
+
+
+def test_many_footers_are_checked_by_executors(spark, dataset, monkeypatch):
+    from tallyforge.sources import meds
+
+    monkeypatch.setattr(meds, "DRIVER_FOOTERS", 1)
+    assert meds.scan_events(dataset, ["modifier"], spark).count() == 7
+    with pytest.raises(ValueError, match=r"modifier 'nope' is missing from .*0\.parquet"):
+        meds.scan_events(dataset, ["nope"], spark)
+
+
+@pytest.mark.parametrize("suffix", ["parquet", "csv", "json", "ndjson"])
+def test_one_file_of_many_parts(spark, tmp_path, suffix):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        frame = spark.range(1000).select((F.col("id") * 7 % 1000).alias("n"), F.concat(F.lit("a,\n"), F.col("id")).alias("t"))
+        tables.sink_table(frame, tmp_path / f"o.{suffix}", order=["n"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert [p.name for p in tmp_path.iterdir()] == [f"o.{suffix}"]
+    rows = tables.scan_table(tmp_path / f"o.{suffix}", spark).collect()
+    assert sorted((r.n, r.t) for r in rows) == sorted((i * 7 % 1000, f"a,\n{i}") for i in range(1000))
+    if suffix in ("parquet", "ndjson"):
+        assert [r.n for r in spark.createDataFrame(rows).collect()] == list(range(1000))
+
+
+def test_postgres_candidates_pass_in_chunks(spark, monkeypatch):
+    from tallyforge import EnrichmentConfig
+    from tallyforge.sources import postgres
+
+    asked = []
+    head = "kind,a,b,level,concept_name,domain_id,vocabulary_id,concept_code,standard_concept\n"
+    monkeypatch.setattr(postgres, "CHUNK", 3)
+    monkeypatch.setattr(postgres, "_ask", lambda _, script: asked.append(script) or head + f"concept,{len(asked)},,,n,d,V,c,S\nconcept,9,,,n,d,V,c,S\n")
+    candidates = spark.createDataFrame([("V", f"c{i}") for i in range(8)], "vocabulary_id string, concept_code string")
+    concepts, pairs = postgres.fetch(candidates, EnrichmentConfig(postgres="x", child_codes=True, child_depth=2), spark)
+    assert len(asked) == 3 and sorted(r.concept_id for r in concepts.collect()) == [1, 2, 3, 9] and pairs.count() == 0
+    assert "<= 2" in asked[0] and "min_levels_of_separation = 1" not in asked[0]
+    assert "min_levels_of_separation = 1" in postgres.build_script([], EnrichmentConfig(postgres="x", sibling_codes=True))
