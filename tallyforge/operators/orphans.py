@@ -49,8 +49,8 @@ def monthly(rows: DataFrame, key: str, at: str) -> DataFrame:
 
 
 def period_of(at: str):
-    """``yyyy-MM``."""
-    return F.substring(F.col(at).cast("string"), 1, 7)
+    """Year and month as one number, such as 202101; ``named`` writes it as ``yyyy-MM``."""
+    return F.year(at) * 100 + F.month(at)
 
 
 def missing(months: DataFrame, parents: DataFrame, parent_key: str) -> DataFrame:
@@ -86,7 +86,7 @@ def _meet(refs: DataFrame, mixed: DataFrame) -> DataFrame:
     """References of the mixed months: sent to all tasks while few, else joined with hot months spread by time."""
     if mixed.limit(MIXED_ROWS + 1).count() <= MIXED_ROWS:
         return refs.join(F.broadcast(mixed), ["ref", "period"])
-    month = F.concat_ws("\x1f", F.col("ref").cast("string"), "period").alias("month")
+    month = F.struct("ref", "period").alias("month")
     return join_spread(refs.select(month, "ref", "period", "at"), mixed.select(month, "first", "spans"), "month", "inner", ["at"])
 
 
@@ -104,7 +104,7 @@ def named(found: DataFrame, table_name: str, field_name: str) -> DataFrame:
         F.lit(table_name).alias("table_name"),
         F.lit(field_name).alias("field_name"),
         F.col("ref").cast("string").alias("ref_key"),
-        "period",
+        F.when(F.col("period").isNotNull(), F.format_string("%04d-%02d", F.floor(F.col("period") / 100), F.col("period") % 100)).alias("period"),
         "kind",
         "n",
     )

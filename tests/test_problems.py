@@ -212,8 +212,8 @@ def test_orphans(spark, monkeypatch):
     refs = [("ok", t(0)), ("ok", t(400)), ("gap", t(9)), ("gap", t(10)), ("gap", t(25)), ("touch", t(10)), ("touch", t(40)), ("late", t(29)),
             ("late", t(30)), ("never", t(1)), ("none", t(2)), ("none", None), ("ok", None), (None, t(1)), ("odd", t(9)), ("odd", t(5)), ("gap", t(10))]
     rows = spark.createDataFrame(refs, "code string, at timestamp_ntz").withColumn("kind", F.lit(1))
-    expected = [("gap", "2021-01", "deleted", 2), ("touch", "2021-02", "deleted", 1), ("late", "2021-01", "late", 1), ("never", "2021-01", "late", 1)]
-    expected += [("none", "2021-01", "missing", 1), ("none", None, "missing", 1), ("odd", "2021-01", "deleted", 1), ("odd", "2021-01", "late", 1)]
+    expected = [("gap", 202101, "deleted", 2), ("touch", 202102, "deleted", 1), ("late", 202101, "late", 1), ("never", 202101, "late", 1)]
+    expected += [("none", 202101, "missing", 1), ("none", None, "missing", 1), ("odd", 202101, "deleted", 1), ("odd", 202101, "late", 1)]
     for few in (0, 50_000):  # months in doubt joined, or sent to all tasks
         monkeypatch.setattr(orphans, "MIXED_ROWS", few)
         found = orphans.timed_orphans(rows, "code", "at", parents, "code", "s", "e", Stash(spark))
