@@ -44,10 +44,12 @@ LEAST_ODDS = 0.0
 UNIT_TOKENS = 64
 
 #: Spans that may be marks: placeholders, tags, notes
-MARK = re.compile(
+_SYMBOL_MARK = (
     r"[$%#@]?\{+[^{}]*\}+|\[+[^\[\]]*\]+|<+[^<>]*>+|&lt;[^<>&]*&gt;|%\([^()\n]*\)[a-z]|«[A-Z][A-Z_ ]*»"
-    r"|([%#@_])\1*[^\W\d_][\w .]*?\1+|\$[A-Z][A-Z_]+\b|\bX{4,}\b|(?<! an )(?<! a )\b(?:undefined|null|None|NaN|Invalid Date)\b"
+    r"|([%#@_])\1*[^\W\d_][\w .]*?\1+|\$[A-Z][A-Z_]+\b"
 )
+MARK = re.compile(_SYMBOL_MARK + r"|\bX{4,}\b|(?<! an )(?<! a )\b(?:undefined|null|None|NaN|Invalid Date)\b")
+_AT_SYMBOL, _FIRST, _WORDS = re.compile(_SYMBOL_MARK), re.compile(r"[{\[<$%#@_«&]"), ("XXXX", "undefined", "null", "None", "NaN", "Invalid Date")
 #: Generic signs of placeholders, error pages, traces and notices; they only label the fit
 SIGNS = {
     "slot": r"\{\{[^{}]*\}\}|\{%[^{}]*%\}|\$\{[^{}]*\}|\[\[[^\[\]]*\]\]|<%[^<>]*%>|%\([^()\n]*\)[a-z]|[\[<](?i:insert|enter|your)\b[^\[\]<>]*[\]>]",
@@ -103,6 +105,18 @@ def _shape(mark: str) -> tuple[str, list[str]]:
     return re.sub(r"(\w)(?:[ _.]+\1)+", r"\1", shape), ["0" if w.isdigit() else w.lower() for w in words]
 
 
+def _without_marks(text: str, note) -> str:
+    """``MARK.sub``, but trying symbols only where one stands, unless a word that is a mark occurs."""
+    if any(w in text for w in _WORDS):
+        return MARK.sub(note, text)
+    pieces, at = [], 0
+    for first in _FIRST.finditer(text):
+        if first.start() >= at and (m := _AT_SYMBOL.match(text, first.start())):
+            pieces += (text[at : m.start()], note(m))
+            at = m.end()
+    return "".join((*pieces, text[at:]))
+
+
 class Units:
     """Units of a batch of texts: ``owner`` (text), ``mark``, ``trusted``, and their hashed ``tokens`` at ``start``.
 
@@ -155,7 +169,7 @@ def read_units(texts: pa.Array) -> Units:
                 marks.append((i, m.group(), sure))
                 return f" {_SLOT} "
 
-            plain[i] = MARK.sub(note, text)
+            plain[i] = _without_marks(text, note)
         clean = pa.array(plain, pa.string())
     clean = pc.replace_substring_regex(clean, _QUOTED, f" {_QUOTE} ")
     clean = pc.replace_substring_regex(clean, r"([.!?…])[\s\x{3000}]+", r"\1" + "\n")
@@ -342,7 +356,7 @@ def _score(odds):
     return run
 
 
-def learn(read: DataFrame) -> np.ndarray:
+def learn(read: DataFrame, stash: Stash) -> np.ndarray:
     """The model, fitted on the bounded sample of what ``_read`` made of all texts."""
     zero = F.lit(0).cast("bigint")
     some = lambda c: F.coalesce(F.sum(c), zero)
@@ -352,7 +366,8 @@ def learn(read: DataFrame) -> np.ndarray:
     ).first()
     most = (OTHER_UNITS, NEAR_UNITS, TRUSTED_UNITS)
     counts = (total["k0"], total["k1"], total["k2"])
-    drawn = read.mapInArrow(_draw(tuple(min(1.0, 1.2 * m / max(1, n)) for m, n in zip(most, counts))), _DRAWN)
+    rates = tuple(min(1.0, 1.2 * m / max(1, n)) for m, n in zip(most, counts))  # a little more than is kept
+    drawn, _ = stash.put(read.mapInArrow(_draw(rates), _DRAWN))
     rows = []
     for kind, n in enumerate(most):
         rows += drawn.filter(F.col("kind") == kind).orderBy("pick", "own").limit(n).collect()
@@ -369,5 +384,5 @@ def find_residue(documents: DataFrame) -> DataFrame:
     texts = documents.select("doc_id", "text").filter("text is not null and trim(text) <> ''")
     stash = Stash(documents.sparkSession)
     read, _ = stash.put(texts.mapInArrow(_read, _READ))
-    odds = documents.sparkSession.sparkContext.broadcast(learn(read))  # SPACE floats, 4 MB
+    odds = documents.sparkSession.sparkContext.broadcast(learn(read, stash))  # SPACE floats, 4 MB
     return read.mapInArrow(_score(odds), "doc_id bigint")

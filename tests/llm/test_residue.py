@@ -119,3 +119,11 @@ def test_units_of_a_batch_do_not_depend_on_each_other(corpus):
         mine = owner == i
         assert (m == mark[mine]).all() and (t == trusted[mine]).all() and (n == lengths[mine]).all()
         assert own.tolist() == [x for e, k in zip(ends[mine], lengths[mine]) for x in tokens[e - k : e].tolist()]
+
+
+def test_fast_search_for_marks_equals_plain():
+    rng = random.Random(4)
+    bits = ["{", "}", "{{", "[", "]", "<", ">", "%", "#", "@@", "__", "$", "&lt;", "&gt;", "«", "»", "A", "NAME", "word", " ", "(", ")s", "None", " an undefined", "XXXX", "\n"]
+    for _ in range(3000):
+        text = "".join(rng.choices(bits, k=rng.randrange(1, 25)))
+        assert residue._without_marks(text, lambda m: f"({m.group()})") == residue.MARK.sub(lambda m: f"({m.group()})", text)

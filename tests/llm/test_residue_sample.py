@@ -6,13 +6,14 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tallyforge.llm import residue
+from tallyforge.runtime import Stash
 
 from .test_residue import best, corpus, speech, units_of  # noqa: F401
 
 
 def learned(frame):
     read = frame.mapInArrow(residue._read, residue._READ)
-    return residue.learn(read)
+    return residue.learn(read, Stash(frame.sparkSession))
 
 
 def test_score_hardly_moves_when_the_corpus_is_repeated(spark, corpus, monkeypatch):  # noqa: F811
