@@ -35,7 +35,7 @@ from ..runtime import Stash
 #: Most units the model is fitted on: trusted, others of the same records, units of other records.
 TRUSTED_UNITS, NEAR_UNITS, OTHER_UNITS = 20_000, 20_000, 100_000
 #: Feature hash space, rounds of EM, counts that smooth a feature, bounds of one feature's log odds.
-SPACE, ROUNDS, SMOOTHING, CLIP = 1 << 20, 8, 1.0, (-4.0, 8.0)
+SPACE, ROUNDS, SMOOTHING, CLIP = 1 << 20, 8, 1.0, (-4.0, 4.0)
 #: Weight an unlabelled mark starts with in a record that holds a trusted unit.
 NEAR_START = 0.1
 #: Log odds above which a unit counts as residue.
@@ -56,7 +56,7 @@ SIGNS = {
     "page": r"(?i)<(?:!doctype|/?html|/?head|/?title|/?body|/?h1|/?noscript|\?xml)\b[^<>]*>",
     "data": r"\{\s*\"\w+\"\s*:[^{}]*\}",
     "unset": r"(?:undefined|null|None|NaN|Invalid Date)(?= *(?:[(:)]|$))",
-    "filler": r"(?i)^\W*(?:lorem ipsum|(?:qwerty|asdf|blah|foo bar|abc def|xxx)\b|(?:\w+ ){0,3}(?:placeholder|dummy|filler|sample|blind|muster|platzhalter) ?(?:text|copy|speech)(?: (?:for|here|only|für|hier) |\W*$))",
+    "filler": r"(?i)^\W*(?:lorem ipsum|texte provisoire|texto (?:provisional|de relleno)|(?:qwerty|asdf|blah|foo bar|abc def|xxx)\b|(?:\w+ ){0,3}(?:placeholder|dummy|filler|sample|blind|muster|platzhalter) ?(?:text|copy|speech)(?: (?:for|here|only|für|hier) |\W*$))",
     "draft": r"(?i)^\W*(?:\S+ ){0,4}(?:coming soon|to follow|à venir|please ignore|not for publication)\b",
     "status": r"(?i)^\W*(?:http|error|erreur|fehler)(?: code)?:? [45]\d\d\b|^\W*[45]\d\d:? (?:not|internal|bad|service|gateway|access|too)\b",
     "reason": r"(?i)^\W*(?:page not found|access denied|forbidden|(?:internal )?server error|bad gateway|gateway time-?out|service (?:temporarily )?unavailable|too many requests|something went wrong|seite nicht gefunden|zugriff verweigert|page introuvable|accès refusé|página no encontrada|acceso denegado)\W*(?:$| - )",
@@ -69,7 +69,7 @@ _MARKED = r"[{\[<$%#&@_«]|XXXX|undefined|null|None|NaN|Invalid"
 _DROP = "[\u00ad\u200b-\u200d\u2060\ufeff\u202a-\u202e\u2066-\u2069]"
 _QUOTED = "[“„«‘‹][^“”„«»‘’‹›\r\n]{2,}[”“»’›]|\"[^\"\r\n]{2,}\""
 #: A quotation that the sentence announces is open.
-_ANNOUNCED = re.compile(r"(?::|\b(?:reads?|says|said|marked|printed|wording)\b)[^.!?“„«\"\r\n]*[“„«\"][^”“»\"\r\n]*$")
+_ANNOUNCED = re.compile(r"\b(?:reads?|says|marked|printed|wording)\b[^.!?“„«\"\r\n]*[“„«\"][^”“»\"\r\n]*$")
 _SLOT, _QUOTE = "\ue000", "\ue001"
 _LINES = "[\r\n\x0b\x0c\u0085\u2028\u2029]+"
 _OF_MARKS = ("slot", "page", "data", "unset")
@@ -231,8 +231,8 @@ def features(mark: np.ndarray, lengths: np.ndarray, tokens: np.ndarray) -> tuple
     owner = np.r_[unit, unit[inside], unit[ends]]
     if len(again):  # what mostly repeats itself is judged by that alone
         other = ~np.isin(owner, again)
-        flat = np.r_[flat[other], np.full(len(again), _HASH["R:again"], np.int32)]
-        owner = np.r_[owner[other], again]
+        flat = np.r_[flat[other], np.repeat(np.array([_HASH["R:again"], _HASH["R:words"]], np.int32), len(again))]
+        owner = np.r_[owner[other], again, again]
     return flat, owner
 
 
