@@ -39,7 +39,8 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-#: Settings of a packed stash.
+#: Rows per shuffle partition and settings of a packed stash.
+PACKED_ROWS = 50_000
 PACKED = {
     "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m",
@@ -65,8 +66,9 @@ class Stash:
     ``put`` returns the table read back and its row count. The count is taken by the writing
     (result) stage, whose updates Spark applies once per partition however often a task
     is tried. ``drop`` deletes a table that is no longer needed; the rest goes when the JVM ends.
-    ``packed`` lets a write join shuffle partitions up to 4 MB, also below the number of
-    cores: for iterations, whose rounds are often tiny and then cost little but tasks and files.
+    ``packed`` is for iterations, whose rounds are often tiny and then cost little but tasks and files: a
+    write may join shuffle partitions up to 4 MB, also below the number of cores, and shuffles are as wide
+    as the largest table put so far asks for (``PACKED_ROWS`` a partition), at least one partition a core.
     """
 
     def __init__(self, spark: SparkSession, packed: bool = False):
@@ -74,7 +76,7 @@ class Stash:
         self.base = f"{shared_folder(spark)}/tallyforge-{uuid.uuid4().hex}"
         self.files = self._path(self.base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.files.deleteOnExit(self._path(self.base))
-        self.number = 0
+        self.number, self.most = 0, 0
         self.kept: dict[str, DataFrame] = {}
 
     def _path(self, name: str):
@@ -84,11 +86,21 @@ class Stash:
         self.number += 1
         name = f"{self.base}/{self.number}"
         seen = Observation()
-        with configured(self.spark, PACKED if self.packed else {}):
+        with configured(self.spark, self._settings()):
             frame.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(name)
         back = self.spark.read.schema(frame.schema).parquet(name)
         self.kept[name] = back
-        return back, int(seen.get["n"])
+        n = int(seen.get["n"])
+        self.most = max(self.most, n)
+        return back, n
+
+    def _settings(self) -> dict[str, str]:
+        if not self.packed:
+            return {}
+        if not self.most:
+            return PACKED
+        width = max(self.spark.sparkContext.defaultParallelism, -(-self.most // PACKED_ROWS))
+        return {**PACKED, "spark.sql.shuffle.partitions": str(width)}
 
     def _name(self, frame: DataFrame) -> str | None:
         return next((name for name, kept in self.kept.items() if kept is frame), None)
